@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_codec, token_counts
+from . import exact_dedup, html_extract, jaccard_join, mixing, quality_rules, sentencepiece_codec, token_counts, url_filter, warc_fixity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), verify=True)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc_fixity.records(table(spark, sf_dir, "pages"))
+    return warc_fixity.fixity_report(made, warc_fixity.damaged(made))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -35,11 +49,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_token_counts, op5_jaccard_join, op8_exact_dedup, op9_source_mixing, op10_quality_rules)}
+    found = (
+        op1_sentencepiece, op2_url_filter, op3_token_counts, op5_jaccard_join, op6_html_extract,
+        op7_warc_fixity, op8_exact_dedup, op9_source_mixing, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc_fixity": warc_fixity.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_source_mixing": "SELECT doc_id, size, source_size, target, taken FROM (" + mixing.SQL + ")",
         "op10_quality_rules": quality_rules.SQL,
