@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,20 @@ WS_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once for each context, so that Python workers can import it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_datawright_shipped", None) != sc.applicationId:
+        top = Path(__file__).resolve().parents[1]
+        packed = os.path.join(tempfile.mkdtemp(prefix="datawright-"), "datawright.zip")
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(top.rglob("*.py")):
+                z.write(source, source.relative_to(top.parent))
+        sc.addPyFile(packed)
+        sc._datawright_shipped = sc.applicationId
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, jaccard_join, mixing, quality_rules, sentencepiece_codec, token_counts, url_filter, warc_fixity
-from .common import table
+from . import exact_dedup, html_extract, jaccard_join, license_scan, mixing, quality_rules, sentencepiece_codec, token_counts, url_filter, warc_fixity
+from .common import ship, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,12 +52,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_sentencepiece, op2_url_filter, op3_token_counts, op5_jaccard_join, op6_html_extract,
+        op1_sentencepiece, op2_url_filter, op3_token_counts, op4_license_scan, op5_jaccard_join, op6_html_extract,
         op7_warc_fixity, op8_exact_dedup, op9_source_mixing, op10_quality_rules,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: _shipped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
