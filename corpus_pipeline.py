@@ -8,33 +8,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawright.llm import exact_dedup, mixing, quality_rules
-from datawright.llm.common import staged, table
+from datawright.llm import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_codec
+from datawright.llm.common import ship, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    ship(spark)
     return quality_rules.filtered(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the one with the largest id stays."""
+    ship(spark)
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts connected by a 5-word Jaccard similarity of 0.75 or more the one with the smallest id stays."""
+    ship(spark)
+    return jaccard_join.representatives(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("source_mixing", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, once for each time that it appears."""
+    ship(spark)
+    return sentencepiece_codec.encode(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("source_mixing", mixed), ("sentencepiece", tokens)]
 
 #: Near dedup and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
