@@ -1,0 +1 @@
+"""Cell-level Column builders."""

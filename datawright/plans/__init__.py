@@ -1,0 +1 @@
+"""Rules, findings, decisions and the order in which they act."""

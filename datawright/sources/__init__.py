@@ -1,0 +1 @@
+"""Sources and identity of rows and versions."""
