@@ -3,7 +3,7 @@
 A document's set holds its distinct word n-grams as 64-bit hashes; equal sets are one *item*, named by a 64-bit hash
 of the set. Items link when the Jaccard similarity of their sets reaches ``percent``/100.
 
-1. Shingles go to buckets by their hash, packed in binary columns. In a bucket the shingles that only one
+1. Shingles go to buckets by their hash, packed in binary columns (48 bits beside the bucket number). In a bucket the shingles that only one
    item has are dropped; the others return to their items with their frequency.
 2. Ordered by (frequency, hash), two linked items share a shingle among the first
    ``size - ceil(t * size) + 1`` of each. Shingles of one item come first in that order, so an item whose unique
@@ -46,8 +46,10 @@ WORDS = 5
 PERCENT = 75
 #: Documents of the sample for hot shingles, the share that makes one hot, and the most of them.
 SAMPLE, HOT_SHARE, MOST_HOT = 2_000, 0.02, 50_000
-#: Bytes of text for each bucket of shingles: about a million shingles.
-BUCKET_BYTES = 6_000_000
+#: Bytes of text for each bucket of shingles: about two million shingles.
+BUCKET_BYTES = 12_000_000
+#: Bytes of a shingle's hash that travel, beside its bucket.
+SENT = 6
 #: Items of a chunk or block.
 BLOCK = 512
 _SEEN = 200_000
@@ -144,8 +146,19 @@ def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def _unpack(column: pa.ChunkedArray, bucket: int, buckets: int) -> np.ndarray:
+    sent = _numbers(column, np.uint8).reshape(-1, SENT)
+    wide = np.zeros((len(sent), 8), np.uint8)
+    wide[:, :SENT] = sent
+    return wide.view(np.uint64).ravel() * _U(buckets) + _U(bucket)
+
+
 def _packed_shingles(docs: DataFrame, id_col: str, text_col: str, n: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(bucket, keys, sizes, at, shingles): packed shingles of many items; a negative bucket holds hot shingles."""
+    """(bucket, keys, sizes, counts, shingles): packed shingles of many items; a negative bucket holds hot shingles, with all bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -171,29 +184,31 @@ def _packed_shingles(docs: DataFrame, id_col: str, text_col: str, n: int, bucket
                     turn += 1
                 order = np.argsort(bucket, kind="stable")
                 bucket, every, at = bucket[order], every[order], at[order]
+                quotient = every // _U(buckets) & _U((1 << 8 * SENT) - 1)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 rows: list[list] = [[], [], [], [], []]
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    own, local = np.unique(at[a:b], return_inverse=True)
-                    for column, value in zip(rows, (int(bucket[a]), all_keys[own].tobytes(), sizes[own].tobytes(), local.astype(np.int32).tobytes(), every[a:b].tobytes()), strict=True):
+                    own, counts = np.unique(at[a:b], return_counts=True)
+                    # Hot shingles keep the name that they would have in their bucket.
+                    sent = _pack(quotient[a:b]) if bucket[a] >= 0 else (quotient[a:b] * _U(buckets) + every[a:b] % _U(buckets)).tobytes()
+                    for column, value in zip(rows, (int(bucket[a]), all_keys[own].tobytes(), sizes[own].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), sent), strict=True):
                         column.append(value)
-                yield _batch(["bucket", "keys", "sizes", "at", "shingles"], [pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]])
+                yield _batch(["bucket", "keys", "sizes", "counts", "shingles"], [pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, keys binary, sizes binary, at binary, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, keys binary, sizes binary, counts binary, shingles binary")
 
 
-def _shared(group: pa.Table) -> Iterator[pa.RecordBatch]:
+def _shared(group: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of one bucket: for each item its shingles that other items have too, with their frequencies."""
-    hot = group.column("bucket")[0].as_py() < 0
-    ats = [np.frombuffer(a, np.int32) for a in group.column("at").to_pylist()]
-    counts = [len(k) // 8 for k in group.column("keys").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    at = np.concatenate([a + s for a, s in zip(ats, starts, strict=True)])
-    keys, sizes, found = _numbers(group.column("keys"), np.int64), _numbers(group.column("sizes"), np.int64), _numbers(group.column("shingles"), np.uint64)
+    bucket = group.column("bucket")[0].as_py()
+    hot = bucket < 0
+    keys, sizes = _numbers(group.column("keys"), np.int64), _numbers(group.column("sizes"), np.int32).astype(np.int64)
+    at = np.repeat(np.arange(len(keys), dtype=np.int32), _numbers(group.column("counts"), np.int32))
+    found = _numbers(group.column("shingles"), np.uint64) if hot else _unpack(group.column("shingles"), bucket, buckets)
     # One number for each item of the bucket, whichever rows bring it.
     keys, first, ids = np.unique(keys, return_index=True, return_inverse=True)
     sizes = sizes[first]
-    item = ids[at].astype(np.int64)
+    item = ids.astype(np.int32)[at]
     order = np.lexsort((item, found))
     item, found = item[order], found[order]
     fresh = np.r_[True, (found[1:] != found[:-1]) | (item[1:] != item[:-1])]
@@ -366,8 +381,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b) of item keys: links enough to connect every component of items."""
     octets = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    packed = _packed_shingles(docs, id_col, text_col, n, max(32, -(-octets // BUCKET_BYTES)), hot_shingles(docs, id_col, text_col, n))
-    shared = _by_group(packed, ["bucket"], _shared, "key long, size long, shingles binary, often binary")
+    buckets = max(32, -(-octets // BUCKET_BYTES))
+    packed = _packed_shingles(docs, id_col, text_col, n, buckets, hot_shingles(docs, id_col, text_col, n))
+    shared = _by_group(packed, ["bucket"], lambda group: _shared(group, buckets), "key long, size long, shingles binary, often binary")
     found = staged(_by_group(shared, ["key", "size"], _candidate(percent), "key long, size long, shingles binary, prefix array<long>, low array<long>"), "candidates")
 
     # First components: groups by min-hash, in chunks of a block's size.
