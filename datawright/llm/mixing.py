@@ -7,8 +7,8 @@ With caps sorted by cap/weight this is one prefix sum over the sources: no itera
 Selection: a document's exponential key is ``-ln(u) / quality`` with ``u`` from a hash of its id, so
 reruns agree. A target takes its complete epochs first; what is left of it goes to the documents in
 order of their keys until the words are used up, the last one in part. The order within a source is
-never sorted in one task: keys fall into ``bins`` ordered bins, words are summed for each bin, and a
-document's place is its bin's prefix plus its place within the bin.
+never sorted in one task: keys fall into ``bins`` ordered bins, words are summed for each bin and for each ``STEP`` bins, and a
+document's place is the prefix of its step, plus that of its bin within the step, plus its place within the bin.
 
 Nulls: a null text has 0 words; a null source is a source of its own, the last; a null id hashes as
 an empty string. Sources without words get target 0. Repeated rows with one id are taken one after
@@ -29,6 +29,8 @@ CAP = 2.0
 SEED = "mix-1"
 #: Ordered key bins of a source; a bin of a source with a billion documents holds about 15,000.
 BINS = 65_536
+#: Bins that are added up together: no prefix sum runs over more rows than this or ``BINS / STEP``.
+STEP = 256
 
 
 def size_of(text: Column) -> Column:
@@ -83,8 +85,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = sized.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(bins)))
     per_bin = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    ahead = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_bin.select("source", "bin", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0)).alias("start"))
+    step = F.floor(F.col("bin") / STEP)
+    before = lambda column, by, order: F.coalesce(F.sum(column).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = per_bin.groupBy("source", step.alias("step")).agg(F.sum("bin_size").alias("step_size"))
+    steps = steps.select(F.col("source").alias("t_source"), F.col("step").alias("t_step"), before("step_size", ["source"], "step").alias("step_start"))
+    inside_step = per_bin.select("source", "bin", step.alias("step"), "bin_size").select("source", "bin", "step", before("bin_size", ["source", "step"], "bin").alias("bin_start"))
+    starts = inside_step.join(steps, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("step") == F.col("t_step"))).select("source", "bin", (F.col("step_start") + F.col("bin_start")).alias("start"))
     within = W.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.select("id", "source", "size", "bin", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("inside"))
     s, a = starts.withColumnRenamed("source", "s_source").withColumnRenamed("bin", "s_bin"), aims.withColumnRenamed("source", "a_source")
