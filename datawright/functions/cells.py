@@ -50,6 +50,14 @@ class Cell:
 
 
 def cell(df: DataFrame, name: str) -> Cell:
+    """The views of a column; built once for each DataFrame, as building them is what costs on the driver."""
+    built = df.__dict__.setdefault("_datawright_cells", {})
+    if name not in built:
+        built[name] = _cell(df, name)
+    return built[name]
+
+
+def _cell(df: DataFrame, name: str) -> Cell:
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     none = lambda t: F.lit(None).cast(t)
     if kind == MIXED:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import MIXED, date_readings, mixed, number, text, unconfused
-from ..sources.frames import ROW, Versions
+from ..sources.frames import ROW, Versions, checkpoint_dir
 from .detectors import DateIntegrity, _string, dominant_layout
 from .model import Issue, Treatment
 
@@ -197,12 +197,16 @@ class Executed:
 
 
 def run(df: DataFrame, plan: RepairPlan, audit: AuditLog | None = None, source: str = "auto") -> Executed:
-    """Applies operations in order. One that fails leaves the version before it in place and is recorded as refused."""
+    """Applies operations in order. One that fails leaves the version before it in place and is recorded as refused.
+
+    Each changed version is checkpointed: an error shows at once, and plans do not grow with the number of repairs.
+    """
+    checkpoint_dir(df.sparkSession)
     audit, versions = audit or AuditLog(), Versions()
     versions.add(df, "raw")
     for o in plan.ordered():
         try:
-            after = o.apply(df)
+            after = o.apply(df) if o.scope == "no_op" else o.apply(df).checkpoint()
             changed = 0 if o.scope == "no_op" else cells_changed(df, after, o.column) if o.scope != "structural" else df.count() - after.count()
         except Exception as e:
             audit.append(AuditRecord(o.issue, o.column, o.name, False, source, f"rolled back: {str(e)[:200]}"))
