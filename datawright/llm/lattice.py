@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 
 SPACE = "▁"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A unigram model's unknown character scores this much below the worst piece.
@@ -89,12 +90,21 @@ class Vocabulary:
         self.automaton.make_automaton()
 
     def _segmenter(self) -> re.Pattern[str] | None:
-        """Pattern of stretches that no piece crosses, or None if pieces hold the space mark after other characters."""
-        together = {c for p in self.ids if len(p) > 1 for c in p}
+        """Pattern of stretches that no piece crosses, or None if pieces hold the space mark after other characters.
+
+        Besides the space mark, characters that stand alone in every piece are stretches of their own, and an ASCII mark
+        begins one after a Latin letter if no piece has it there.
+        """
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return None
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in together)
-        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        together = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = {chr(c) for c in range(128)} - together
+        after_letter = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if re.match(f"[{LETTERS}]", a)}
+        marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()} - alone - after_letter
+        one, mark = ("".join(re.escape(c) for c in sorted(cs)) for cs in (alone, marks))
+        other = f"[^{SPACE}{one}{LETTERS}]"
+        more = f"(?:[^{SPACE}{one}{LETTERS}{mark}]{other}*[{LETTERS}]*)*"
+        return re.compile(f"{SPACE}*(?:{other}+[{LETTERS}]*|[{LETTERS}]+){more}|{SPACE}+" + (f"|[{one}]" if one else ""))
 
     def normalised(self, text: str) -> str:
         return ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
