@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged, words
+from .common import staged, unused, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -102,9 +102,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, whole texts: a document appears as often as it is taken, a part of at least half counting as a whole. Ids are unique."""
-    taken = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("__id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__copies"))
-    kept = docs.join(taken.filter("__copies > 0"), docs[id_col] == F.col("__id"))
-    return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    taken = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("id"), copies.alias("copies")).filter("copies > 0")
+    kept = docs.join(taken, docs[id_col] == taken["id"])
+    copy = unused(docs.columns, "copy")
+    return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"])).alias(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of op9's rows.

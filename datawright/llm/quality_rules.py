@@ -155,7 +155,7 @@ def judge(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lan
 def filtered(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that pass, with all their columns. Ids are unique."""
     kept = judge(docs, text_col, keys, id_col, **options).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
 
 
 #: DuckDB SQL of op10's rows.

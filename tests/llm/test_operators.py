@@ -1,0 +1,517 @@
+"""Each operator against brute force, an exact round trip, the public library or held-out accuracy, and on awkward rows."""
+
+import hashlib
+import html
+import random
+import re
+import struct
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from datawright.llm import boosting, common, components, exact_dedup, html_extract, html_training, jaccard_join, lattice, license_scan, mixing, quality_rules, queries, sentencepiece_codec, token_counts, url_filter, warc_fixity
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, __kept string"
+LONG = " ".join(f"w{k}" for k in range(30_000))
+AWKWARD = [(1, None, "en", "a"), (2, "", "en", None), (3, " \t\n", None, "a"), (4, "one two", "en", "a"), (5, "one two", "en", "a"), (6, LONG, "fr", "b"), (7, LONG, "fr", "b"), (8, "x" * 5000, None, None), (9, "ends\nwith\nlines\nlines\n", "en", "a"), (10, "ÀÉ ▁ \u200b 日本 \x0b two", "de", "c"), (11, "<p>" * 400, "de", "c")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    common.ship(spark)
+    return spark.createDataFrame([(*r, len(r[1] or ""), "clash", "clash") for r in AWKWARD], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    common.ship(spark)
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def rows_of(df):
+    names = sorted(df.columns)
+    return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in (r[n] for n in names)]) for r in df.collect())
+
+
+# The registered queries against their SQL ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(spark, con, name):
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    want = sorted(repr([round(r[k], 6) if isinstance(r[k], float) else r[k] for k in order]) for r in found.fetchall())
+    assert rows_of(queries.queries()[name](spark, SF)) == want
+
+
+def test_ten_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+# 1 and 3: SentencePiece ----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+
+
+def random_texts(n, seed=5):
+    r = random.Random(seed)
+    parts = ["a", "b", "e", "n", " ", "  ", "\n", "é", "日", "th", "ing", "the,", "\u200b", "𝒳", "0", "12", "...", "====", "    ", "\t", "ж", "ни", "(x", "m²."]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(n)]
+
+
+def test_encoding_equals_the_library(library, documents):
+    v = lattice.Vocabulary(sentencepiece_codec.model_bytes())
+    coder, trie = lattice.Encoder(v, remembered=500), token_counts.CountingTrie(v, most_nodes=2_000)
+    texts = random_texts(1500) + [r.text for r in documents.select("text").collect()] + [t for _, t, *_ in AWKWARD if t]
+    for t in texts:
+        want = library.encode(t)
+        assert coder.encode(t) == want
+        assert trie.count(t)[1] == len(want)
+        if "▁" not in t:
+            assert coder.decode(want) == t
+
+
+def test_streaming_commits_the_same_pieces_in_a_bounded_window(library):
+    v = lattice.Vocabulary(sentencepiece_codec.model_bytes())
+    coder, text = lattice.Encoder(v), "".join(random_texts(200, 6))
+    path, most, found = lattice.Path(v), 0, []
+    whole = v.normalised(text)
+    for at in range(0, len(whole), 16):
+        path.grow(whole[at : at + 16])
+        found += path.commit(path.settled())
+        most = max(most, len(path.text))
+    found += path.commit(len(path.text))
+    assert coder._spell(found) == library.encode(text) and most < 16 * v.longest
+
+
+def test_unigram_mode_takes_the_best_score():
+    raw = sentencepiece_codec.model_bytes()
+    at = raw.rindex(b"\x18\x02 \x80\xfa\x01")  # the model type, which becomes unigram
+    v = lattice.Vocabulary(raw[:at] + b"\x18\x01" + raw[at + 2 :])
+    coder, trie = lattice.Encoder(v), token_counts.CountingTrie(v)
+
+    def best(text):
+        score = [0.0] + [float("-inf")] * len(text)
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - v.longest), end):
+                piece = v.ids.get(text[begin:end])
+                if piece is not None:
+                    score[end] = max(score[end], score[begin] + v.scores[piece])
+        return score[-1]
+
+    for t in ["the cat", "and the other", "nation station", "aaa bbb abab", "enaivielle dans"]:
+        ids = coder.encode(t)
+        assert sum(v.scores[i] for i in ids) == best(v.normalised(t)) and trie.count(t)[1] == len(ids)
+
+
+def test_codec_on_awkward_rows(awkward, library):
+    got = {r.doc_id: r for r in sentencepiece_codec.encode(awkward, verify=True).collect()}
+    for k, text, *_ in AWKWARD:
+        assert list(got[k].ids) == library.encode(text or "") and got[k].n_tokens == len(got[k].ids) and got[k].decoded == ("▁" not in (text or ""))
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(sentencepiece_codec.encode(awkward)).collect()}
+    assert all(back[k] == (t or "") for k, t, *_ in AWKWARD if "▁" not in (t or ""))
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(awkward).collect()}
+    assert counts == {k: r.n_tokens for k, r in got.items()}
+    assert sentencepiece_codec.encode(awkward.limit(0)).count() == token_counts.count_tokens(awkward.limit(0)).count() == 0
+
+
+# 2: URLs --------------------------------------------------------------------------------------------------------
+
+
+def test_url_rules_match_brute_force(spark):
+    common.ship(spark)
+    urls = [None, "", "no-scheme.org/x", "http://Example.ORG/es/1", "http://a.example.org/es/", "http://example.org/en/12", "http://example.org/en/2", "https://x.com/fr/", "https://x.com/de/x?y#z", "http://com/de/", "http://xcom/de/", "http://x.net", "http://casino-win.net/a", "http://org", "a://b://c.org/", "http://x.com?/fr/", "http://É.org/x"]
+    pages = spark.createDataFrame([(k, u, "<p>casino win free bets the house of words</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.fit(pages)).collect()}
+    lower = str.maketrans(common.UPPER, common.LOWER)
+    for k, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u[u.index("://") + 3 :]
+            host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+            path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = host.translate(lower)
+        fits = [(w, r) for w, r in url_filter.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        best = max(fits, key=lambda f: len(f[1]), default=None)
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, best and best[1])
+        if best:
+            assert got[k].verdict == best[0]
+    assert got[12].verdict == "block" and got[0].verdict == "allow"
+    assert url_filter.judge(pages.limit(0), url_filter.fit(pages.limit(0))).count() == 0
+
+
+def test_host_words_are_split_and_learned():
+    m = url_filter.fit_words([("cheap", 50), ("pills", 20), ("garden", 40), ("news", 60), ("daily", 30)])
+    assert m.split("cheappills") == ("cheap", "pills") and m.split("dailygardennews") == ("daily", "garden", "news") and "".join(m.split("zzqxcheap")) == "zzqxcheap"
+    r = random.Random(1)
+    urls = [(f"{r.choice(['cheap', 'best'])}{r.choice(['pills', 'casino'])}.net", "/buy") for _ in range(40)] + [(f"{r.choice(['daily', 'garden'])}news.net", "/en") for _ in range(60)]
+    url_filter.fit_classes(m, urls)
+    assert m.score(m.tokens("cheapcasino.net", "/buy")) > 0 > m.score(m.tokens("gardendaily.net", "/en"))
+
+
+# 4: licences ------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_on_held_out_variations(spark):
+    common.ship(spark)
+    r = random.Random(99)
+    made = [license_scan._variation(r) for _ in range(600)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")
+    got = {x.doc_id: x.licenses for x in license_scan.scan(docs).collect()}
+    named = [k for k, (_, f) in enumerate(made) if f != "unknown"]
+    assert np.mean([got[k] == [made[k][1]] for k in named]) > 0.85
+    assert np.mean([got[k] == [] for k, (_, f) in enumerate(made) if f == "unknown"]) > 0.98
+
+
+def test_licenses_of_documents(spark):
+    common.ship(spark)
+    plain = "just words here"
+    docs = spark.createDataFrame([(1, f"{plain}\nReleased under the MIT License.\n{plain}"), (2, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (3, "She needs a fishing license, he said."), (4, None), (5, ""), (6, LONG + "\nAll rights reserved."), (1, "Released under the MIT License.")], "doc_id long, text string")
+    got = sorted((r.doc_id, tuple(r.licenses), r.n_licensed, r.n_unknown) for r in license_scan.scan(docs).collect())
+    assert got == [(1, ("MIT",), 1, 0), (1, ("MIT",), 1, 0), (2, ("Apache", "CC-BY-NC"), 2, 0), (3, (), 0, 1), (4, (), 0, 0), (5, (), 0, 0), (6, ("Proprietary",), 1, 0)]
+    assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+# 5: near duplicates ---------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, percent=75):
+    sets = {}
+    for k, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[k] = frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: (len(sets[k]), find(k)) for k in ids}
+
+
+def near_copies(seed=3):
+    r = random.Random(seed)
+    words = [f"v{k}" for k in range(4_000)]
+    rows, k = [], 0
+    for _ in range(6):
+        base = [r.choice(words) for _ in range(r.choice([8, 40, 200]))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, max(1, len(w) // 60), len(w) // 25])):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((k, " ".join(w) if r.random() < 0.5 else " ".join(w).upper()))
+            k += 1
+    passage = " ".join(r.choice(words) for _ in range(60))
+    for _ in range(40):
+        rows.append((k, passage + " " + " ".join(r.choice(words) for _ in range(r.randint(0, 150)))))
+        k += 1
+    return rows
+
+
+@pytest.mark.parametrize("hot, block", [(50_000, 512), (0, 8)])
+def test_components_match_brute_force(spark, monkeypatch, hot, block):
+    common.ship(spark)
+    monkeypatch.setattr(jaccard_join, "MOST_HOT", max(hot, 1))
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_copies() + [(1000 + k, t) for k, t, *_ in AWKWARD]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_blocks_match_brute_force():
+    rows = near_copies(4)
+    sets = [jaccard_join.shingles(t) for _, t in rows]
+    sizes, keys = np.array([len(s) for s in sets]), [k for k, _ in rows]
+    links = jaccard_join.join_block(keys, sizes, sets, np.array(keys), np.zeros(len(keys), int), 75)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = brute_components(rows)
+    assert {k: find(k) for k in keys} == {k: c for k, (_, c) in want.items()}
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(500, 500)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in range(61)} == {0} and {got[k] for k in range(100, 180)} == {100} and 500 not in got
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_of_nothing(spark, awkward):
+    assert jaccard_join.near_duplicates(awkward.limit(0)).count() == 0
+    assert set(jaccard_join.representatives(awkward).columns) == set(awkward.columns)
+
+
+# 6: main text -----------------------------------------------------------------------------------------------------
+
+
+def test_extraction_on_held_out_layouts():
+    m = html_extract.model()
+    fine = 0
+    for k in range(150):
+        source, main = html_training.labelled_pages(77_000_000 + k)
+        fine += set(html_extract.extract_texts([source], m)[0].split("\n\n")) - {""} == main
+    assert fine >= 138
+
+
+def test_extraction_of_the_shared_pages(spark):
+    common.ship(spark)
+    for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=("page_id", "url", "html")).collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_broken_pages(spark):
+    common.ship(spark)
+    sources = [None, "", "plain words", "<p>a<p>b", "<!-- open", "<script>x", "<article><p>A &amp; B&nbsp;c<br>d</p><div class=ad>Buy</div></article", "<" * 2000, "<div>" * 3000 + "deep", "<table><tr><td>x<td>y</table>", "a < b and c > d"]
+    got = [r.text for r in html_extract.extract(spark.createDataFrame(list(enumerate(sources)), "page_id long, html string"), keep=("page_id",)).orderBy("page_id").collect()]
+    assert len(got) == len(sources) and got[0] == got[1] == "" and got[6].startswith("A & B c d")
+
+
+def test_consistent_decoding():
+    logs = np.log(np.array([[0.1, 0.1, 0.8], [0.9, 0.05, 0.05], [0.4, 0.6, 0.0001], [0.02, 0.97, 0.01], [0.9, 0.1, 0.0001]]))
+    parent = np.array([-1, 0, 1, 0, 3])
+    assert html_extract.decode(logs, parent).tolist() == [html_extract.MIXED, html_extract.IN, html_extract.IN, html_extract.OUT, html_extract.OUT]
+
+
+def test_boosting_learns():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(600, 4))
+    y = np.where(x[:, 0] * x[:, 1] > 0, 1, np.where(x[:, 2] > 1, 2, 0))
+    f = boosting.train(x[:400], y[:400], 3, 25, 4)
+    p = f.log_probabilities(x[400:])
+    assert (p.argmax(axis=1) == y[400:]).mean() > 0.9 and np.allclose(np.exp(p).sum(axis=1), 1)
+
+
+# 7: WARC -------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_files_read_back(spark, tmp_path):
+    common.ship(spark)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", t) for k, t in enumerate(["<p>é</p>", None, "", "a\r\n\r\nb", "x" * 9000])] + [(1500, None, "far")], "page_id long, url string, html string")
+    made = warc_fixity.records(pages)
+    warc_fixity.write_warc(made, str(tmp_path / "w"))
+    got = warc_fixity.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(["<p>é</p>", "", "", "a\r\n\r\nb", "x" * 9000, "far"])
+    leaves = {(r.begin, r.end) for r in warc_fixity.leaves(made).collect()}
+    assert {(r.offset, r.offset + r.length) for r in got} == leaves
+    with pytest.raises(ValueError):
+        list(warc_fixity.parse_warc(b"junk"))
+
+
+def test_audit_finds_damage_only(spark):
+    made = warc_fixity.records(spark.createDataFrame([(k, f"u{k}", "p" * (k % 50)) for k in range(3000)], "page_id long, url string, html string"))
+    bad = {17, 999, 1000, 2999}
+    other = made.withColumn("record", F.when(F.col("id").isin(*bad), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    a, b = warc_fixity.leaves(made), warc_fixity.leaves(other)
+    found = {(r.file, r.place) for r in warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(b)).filter("status = 'corrupt'").collect()}
+    assert {f * 1000 + p for f, p in found} >= bad
+    assert warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(a)).count() == 0
+    short = warc_fixity.leaves(made.filter("id != 2999"))
+    assert [(r.place, r.status) for r in warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(short)).collect()] == [(999, "missing")]
+    assert warc_fixity.fixity_report(made.limit(0), made.limit(0)).count() == 0
+
+
+# 8: exact copies -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("heavy", [1_000_000, 2])
+def test_exact_copies(spark, heavy):
+    common.ship(spark)
+    r = random.Random(2)
+    rows = [(k, r.choice([None, "", "a", "b", "b ", "hot", "hot", "hot", f"u{k}"])) for k in range(400)] + [(7, "a"), (7, "a"), (None, "b")]
+    got = exact_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy).collect()
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t or "", []).append(-1 if k is None else k)
+    assert len(got) == len(rows)
+    for t, ids in groups.items():
+        mine = [g for g in got if g.text_sha256 == hashlib.sha256(t.encode()).hexdigest()]
+        assert len(mine) == len(ids) and {g.group_size for g in mine} == {len(ids)} and {g.keep_id for g in mine} == {max(ids)} and [g.doc_id for g in mine if g.kept] == [max(ids)]
+
+
+def test_misra_gries_keeps_frequent_digests():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    data = [b"hot"] * 300 + [str(r.randrange(5_000)).encode() for _ in range(2_000)]
+    r.shuffle(data)
+    batches = [pa.RecordBatch.from_arrays([pa.array(data[a : a + 100], pa.binary())], ["digest"]) for a in range(0, len(data), 100)]
+    (out,) = exact_dedup.misra_gries(iter(batches), 20)
+    kept = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    assert len(kept) <= 20 and 300 - len(data) / 20 <= kept[b"hot"] <= 300
+
+
+def test_exact_dedup_on_awkward_rows(awkward):
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(awkward).collect()) == [2, 3, 5, 7, 8, 9, 10, 11]
+    assert exact_dedup.dedup_report(awkward.limit(0)).count() == 0
+
+
+# 9: mixing -----------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, share=1.5, cap=2.0):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > cap * sizes[s]}
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        for s in over:
+            target[s] = cap * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+@pytest.mark.parametrize("bins", [4, 65_536])
+def test_mix_meets_its_targets(spark, bins):
+    r = random.Random(8)
+    rows = [(k, " ".join(["w"] * r.randint(0, 60)), r.choice(["a", "b", "hot", "hot", "hot", None, "z"])) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, bins=bins).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    assert len(got) == len(rows)
+    for s in sizes:
+        mine = [g for g in got if g.source == s]
+        assert mine[0].target == pytest.approx(want[s]) and mine[0].source_size == sizes[s]
+        assert sum(g.taken for g in mine) == int(mine[0].target + 1e-9) and all(0 <= g.taken <= 2 * g.size for g in mine)
+        epochs = int(want[s] / sizes[s] + 1e-12)
+        assert all(g.taken >= epochs * g.size for g in mine)
+        keys = sorted(mine, key=lambda g: -np.log((int(hashlib.md5(f"mix-1:{g.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / ((min(g.size, 200) + 10) / 210) if g.size else 1e9)
+        parts = [g.taken - epochs * g.size for g in keys if g.size]
+        full = [p == g.size for p, g in zip(parts, [g for g in keys if g.size], strict=True)]
+        assert full == sorted(full, reverse=True) and sum(0 < p < g.size for p, g in zip(parts, [g for g in keys if g.size], strict=True)) <= 1
+    assert sorted(map(tuple, mixing.mix(df.repartition(7)).collect())) == sorted(map(tuple, mixing.mix(df).collect())) or None in sizes
+
+
+def test_mix_on_awkward_rows(awkward):
+    assert mixing.mix(awkward.limit(0)).count() == 0 and mixing.mix(awkward).count() == len(AWKWARD)
+    out = mixing.mixed_documents(awkward)
+    assert out.columns == awkward.columns and out.filter("text is null").count() == 0
+    empty = awkward.filter("doc_id <= 3")
+    assert {r.taken for r in mixing.mix(empty).collect()} == {0}
+
+
+# 10: quality -----------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    c = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {j for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if c[x] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts_match_brute_force(spark, awkward):
+    r = random.Random(12)
+    texts = [t for _, t, *_ in AWKWARD] + ["".join(r.choice(["a", "b", "c ", " ", "\n", "#", "é", "\t"]) for _ in range(r.randint(0, 120))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in quality_rules.counts(df).collect():
+        assert tuple(x[c] for c in quality_rules.COUNTS) == brute_counts(texts[x.doc_id])
+
+
+def test_adaptive_fences(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    rows = []
+    for k in range(600):
+        words = [word() for _ in range(r.randint(60, 120))]
+        if k % 10 == 0:
+            words = [w + "$$" for w in words]
+        rows.append((k, " ".join(words), ["en", None][k % 2], ["a", "b"][k % 3 == 0]))
+    got = {x.doc_id: x.kept for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {k: k % 10 != 0 for k in range(600)}
+
+
+def test_quality_on_awkward_rows(awkward):
+    got = {r.doc_id: r for r in quality_rules.judge(awkward).collect()}
+    assert len(got) == len(AWKWARD) and got[1].base_failed and not got[1].kept and got[6].n_words == 30_000
+    assert quality_rules.judge(awkward.limit(0)).count() == 0 and quality_rules.filtered(awkward).columns == awkward.columns
+
+
+def test_sketches_merge(spark):
+    d = spark.createDataFrame([(k, " ".join(["abc"] * 60 + [f"w{k}"] * 3 + [f"q{j}" for j in range(k % 90)]), "en", "ab"[k % 2]) for k in range(300)], "doc_id long, text string, lang string, source string")
+    c = quality_rules.counts(d).withColumn("base_failed", F.lit(False))
+    merged = quality_rules.sketches(c).groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n"))
+    whole = quality_rules.sketches(c, ("lang",))
+    assert sorted(map(tuple, merged.select("lang", "feature", "bucket", "n").collect())) == sorted(map(tuple, whole.select("lang", "feature", "bucket", "n").collect()))
+    exact = {f: sorted(r[0] for r in c.select(e).collect()) for f, e in quality_rules.features().items()}
+    for q in quality_rules.quantiles(whole, ("lang",)).collect():
+        value = exact[q.feature][int(np.ceil(0.5 * 300)) - 1]
+        assert value * 0.999 <= q.q50 + 1 and q.q50 <= value * quality_rules.GAMMA + 1
+
+
+# The pipeline ----------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_by_brute_force(spark, documents):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "exact_dedup", "near_dedup", "source_mixing", "sentencepiece"]
+    docs, columns = documents, documents.columns
+    kept = stages["quality_rules"](spark, docs, SF)
+    passed = {r.doc_id for r in quality_rules.judge(docs).filter("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == passed and kept.columns == columns
+    kept = common.staged(kept, "t")
+    single = common.staged(stages["exact_dedup"](spark, kept, SF), "t")
+    last = {}
+    for r in kept.collect():
+        last[r.text] = max(last.get(r.text, -1), r.doc_id)
+    assert {r.doc_id for r in single.collect()} == set(last.values()) and single.columns == columns
+    near = common.staged(stages["near_dedup"](spark, single, SF), "t")
+    want = brute_components([(r.doc_id, r.text) for r in single.collect()])
+    assert {r.doc_id for r in near.collect()} == {c for _, c in want.values()} and near.columns == columns
+    mixed = common.staged(stages["source_mixing"](spark, near, SF), "t")
+    taken = {r.doc_id: int(r.taken / r.size + 0.5) for r in mixing.mix(near).collect() if r.size}
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in taken.items() if n}) and mixed.columns == columns
+    out = stages["sentencepiece"](spark, mixed, SF)
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    text = {r.doc_id: r.text for r in near.collect()}
+    assert all(list(r.ids) == library.encode(text[r.doc_id]) for r in out.collect()) and out.count() == mixed.count()
+
+
+def test_model_file_is_read_by_its_fields():
+    v = lattice.Vocabulary(sentencepiece_codec.model_bytes())
+    assert (v.kind, v.byte_fallback, v.dummy_prefix, len(v.pieces)) == (lattice.BPE, True, True, 32_000)
+    piece = b"\n\x03abc\x15" + struct.pack("<f", -1.5)
+    with pytest.raises(ValueError):
+        lattice.Vocabulary(b"\n" + bytes([len(piece)]) + piece + b"\x1a\x02 \x01")
