@@ -62,18 +62,19 @@ def numeric_summary(df: DataFrame, columns: list[str], rows: int | None = None)
             for k, (c, x) in enumerate(finite.items())
         ]
     )
+    made = first.first()
     fences = []
-    for k, (_, x) in enumerate(finite.items()):
-        q = F.col(f"s{k}.q")
-        iqr = q[2] - q[0]
-        fences.append(F.count_if((iqr > 0) & ((x < q[0] - 1.5 * iqr) | (x > q[2] + 1.5 * iqr))).alias(f"o{k}"))
-    outliers = df.crossJoin(F.broadcast(first)).agg(*fences)  # ``first`` is one row
-    one = first.crossJoin(outliers)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{k}").alias("s"), F.col(f"o{k}").alias("outliers")) for k, c in enumerate(columns)]))
-    n = F.col("r.s.n").cast("double")
-    return one.select(each.alias("r")).select(
-        "r.column", F.col("r.s.n").alias("count"), "r.s.mean", "r.s.std", "r.s.min", F.col("r.s.q")[0].alias("q1"), F.col("r.s.q")[1].alias("median"), F.col("r.s.q")[2].alias("q3"), "r.s.max",
-        skewness(n, F.col("r.s.g1")).alias("skew"), kurtosis(n, F.col("r.s.g2")).alias("kurtosis"), "r.s.zeros", "r.s.negatives", "r.s.infinities", "r.outliers",
+    for k, x in enumerate(finite.values()):
+        q = made[f"s{k}"]["q"]
+        iqr = q[2] - q[0] if q else 0
+        fences.append(F.count_if((x < q[0] - 1.5 * iqr) | (x > q[2] + 1.5 * iqr)) if iqr > 0 else F.max(F.lit(0)))
+    outliers = df.agg(*fences).first()
+    rows = [(c, made[f"s{k}"], outliers[k] or 0) for k, c in enumerate(columns)]
+    inner = first.schema["s0"].dataType.simpleString()
+    n = F.col("s.n").cast("double")
+    return df.sparkSession.createDataFrame(rows, f"column string, s {inner}, outliers long").select(
+        "column", F.col("s.n").alias("count"), "s.mean", "s.std", "s.min", F.col("s.q")[0].alias("q1"), F.col("s.q")[1].alias("median"), F.col("s.q")[2].alias("q3"), "s.max",
+        skewness(n, F.col("s.g1")).alias("skew"), kurtosis(n, F.col("s.g2")).alias("kurtosis"), "s.zeros", "s.negatives", "s.infinities", "outliers",
     )
 
 
