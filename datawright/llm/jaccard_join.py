@@ -428,3 +428,22 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with the smallest id of each component, with all their columns. Ids are unique."""
     gone = near_duplicates(docs, id_col, text_col, n, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+#: DuckDB SQL of op5's rows: all pairs that share a shingle, so for small tables.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT a, b FROM both_ways UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON r.y = l.a),
+least_reached AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(r.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_reached r ON r.x = w.doc_id
+"""

@@ -66,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": jaccard_join.SQL,
         "op7_warc_fixity": warc_fixity.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_source_mixing": "SELECT doc_id, size, source_size, target, taken FROM (" + mixing.SQL + ")",
