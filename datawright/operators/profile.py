@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.cells import MIXED, UNSUPPORTED, cell, number, text
+from ..functions.cells import MIXED, UNSUPPORTED, Cell, cell, number, text
 from ..sources.frames import ROW
-from .ordering import cumulative, quantiles
+from .ordering import EXACT_ROWS, cumulative, quantiles
 
 KINDS = ("empty", "unsupported", "constant", "ordinal", "boolean", "datetime", "numeric", "categorical", "text")
 #: Which statistics and charts a kind supports, and why.
@@ -249,15 +249,23 @@ def classify(df: DataFrame, column: str, present: int, distinct: int, temporal:
 
 
 def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetProfile:
-    """Whole profile: three jobs for all columns, one more for each column with levels or a histogram."""
+    """Whole profile: three jobs for all columns, one more for each column with levels or a histogram.
+
+    Distinct values are exact up to ``EXACT_ROWS`` rows and come from sketches beyond, where exact ones would shuffle every column.
+    """
+    rows = df.count()
     names = [c for c in df.columns if c != ROW]
     cells = {c: cell(df, c) for c in names}
+
+    def distinct(d: DataFrame, c: str, x: Cell) -> Column:
+        # Of a typed column distinct values are distinct texts, and cheaper.
+        value = x.text if isinstance(d.schema[c].dataType, (T.StringType, T.StructType, T.ArrayType, T.MapType, T.VariantType, T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
+        return F.countDistinct(value) if rows <= EXACT_ROWS else F.approx_count_distinct(value, 0.01)
+
     forms = ["int", "float", "numeric-string", "formatted-numeric-string", "bool", "datetime", "date", "string"]
     first = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.struct(F.count_if(x.missing).alias("missing"), F.countDistinct(x.text).alias("distinct"), F.count(x.number).alias("parsed"), *[F.count_if(x.form == f).alias(f) for f in forms]).alias(f"c{k}") for k, x in enumerate(cells.values())],
+        *[F.struct(F.count_if(x.missing).alias("missing"), distinct(df, c, x).alias("distinct"), F.count(x.number).alias("parsed"), *[F.count_if(x.form == f).alias(f) for f in forms]).alias(f"c{k}") for k, (c, x) in enumerate(cells.items())],
     ).first()
-    rows = first["rows"]
     found: dict[str, ColumnProfile] = {}
     for k, c in enumerate(names):
         one = first[f"c{k}"].asDict()

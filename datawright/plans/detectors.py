@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import CONFUSABLES, FAMILY, INVISIBLE, MIXED, cell, date_readings, date_status, folded, has_confusable, is_missing, number, similarity, text, unaccented, unconfused
 from ..functions.entities import CURRENCY, EntityPack
+from ..operators.ordering import quantiles
 from ..sources.frames import ROW
 from .model import Issue, Severity, Treatment
 
@@ -192,28 +193,35 @@ class RangeViolation(Detector):
 class SentinelCandidate(Detector):
     name = "sentinel_candidate"
 
+    @staticmethod
+    def _clean(df: DataFrame, column: str) -> Column:
+        n = number(df, column)
+        return F.when(~n.isin(*[float(s) for s in SENTINELS]), n)
+
+    @staticmethod
+    def _columns(df: DataFrame) -> list[str]:
+        return [x for x in _names(df) if isinstance(df.schema[x].dataType, (T.NumericType, T.StringType)) or df.schema[x].dataType == MIXED]
+
     def requests(self, df, c):  # noqa: ANN001, ANN201
         out = {}
-        for x in _names(df):
-            if isinstance(df.schema[x].dataType, (T.NumericType, T.StringType)) or df.schema[x].dataType == MIXED:
-                n = number(df, x)
-                clean = F.when(~n.isin(*[float(s) for s in SENTINELS]), n)
-                out[f"n:{x}"], out[f"q:{x}"], out[f"min:{x}"] = F.count(n), F.percentile(clean, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.999))), F.min(clean)
-                out |= {f"{s}:{x}": F.count_if(n == float(s)) for s in SENTINELS}
+        for x in self._columns(df):
+            n = number(df, x)
+            out[f"n:{x}"] = F.count(n)
+            out |= {f"{s}:{x}": F.count_if(n == float(s)) for s in SENTINELS}
         return out
 
     def findings(self, df, c, v):  # noqa: ANN001, ANN201
+        """Quantiles are computed only for columns that hold a code at least twice."""
+        held = [x for x in self._columns(df) if v[f"n:{x}"] >= 30 and any(v[f"{s}:{x}"] >= 2 for s in SENTINELS)]
+        if not held:
+            return []
+        row = df.agg(*[e for x in held for e in (quantiles(self._clean(df, x), [0.25, 0.75, 0.999], v[f"n:{x}"]), F.min(self._clean(df, x)))]).first()
         found = []
-        for x in _names(df):
-            if v.get(f"n:{x}", 0) < 30 or not v[f"q:{x}"]:
+        for k, x in enumerate(held):
+            if not row[2 * k]:
                 continue
-            q1, q3, top = v[f"q:{x}"]
-            codes = {}
-            for s in SENTINELS:
-                k = v[f"{s}:{x}"]
-                far, sign = q3 > q1 and s > top + 10 * (q3 - q1), s < 0 <= v[f"min:{x}"]
-                if k >= 2 and (far or sign):
-                    codes[s] = k
+            (q1, q3, top), low = row[2 * k], row[2 * k + 1]
+            codes = {s: v[f"{s}:{x}"] for s in SENTINELS if v[f"{s}:{x}"] >= 2 and (q3 > q1 and s > top + 10 * (q3 - q1) or s < 0 <= low)}
             if codes:
                 found.append(Issue(f"SENTINEL-{x}", "sentinel_candidate", S.HIGH_WARNING, (x,), 0.97, sum(codes.values()), (Treatment("treat_as_missing", 0.55), Treatment("keep_and_flag", 0.50)), details={"codes": codes}, rows=lambda d, x=x, codes=codes: number(d, x).isin(*[float(s) for s in codes])))
         return found

@@ -731,3 +731,45 @@ def _(t):  # noqa: ANN001, ANN202
 def _(t):  # noqa: ANN001, ANN202
     d = _holes(t)
     return d.sparkSession.createDataFrame([(a.column, a.kind, a.method) for a in preprocess.recommend(d)], "column string, kind string, method string")
+
+
+@query("scan_lineitem")
+def _(t):  # noqa: ANN001, ANN202
+    from .plans.detectors import Range
+    from .plans.scan import scan
+
+    found = scan(t("lineitem"), key="l_orderkey", ranges=(Range("l_discount", 0, 0.05), Range("l_quantity", 1, 45)))
+    return found.data.sparkSession.createDataFrame([(i.id, i.severity.name, i.repair_class.name, i.affected) for i in found.issues], "finding string, severity string, repair_class string, rows long")
+
+
+@query("auto_prepare_orders")
+def _(t):  # noqa: ANN001, ANN202
+    from .plans.prepare import auto_prepare
+
+    d = t("orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 9 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")))
+    made = auto_prepare(d, categorical=("o_orderpriority", "o_orderstatus"))
+    return d.sparkSession.createDataFrame([(r.issue, r.operation, r.applied, r.cells_changed) for r in made.audit.records], "finding string, operation string, applied boolean, cells long")
+
+
+@query("profile_lineitem")
+def _(t):  # noqa: ANN001, ANN202
+    made = profile.profile(t("lineitem"))
+    return t("lineitem").sparkSession.createDataFrame([(c.name, c.kind, c.rows, c.missing, c.distinct) for c in made.columns.values()], "column string, kind string, rows long, missing long, distinct long")
+
+
+@query("associations_orders")
+def _(t):  # noqa: ANN001, ANN202
+    found = association.associations(t("orders").select("o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority"))
+    return t("orders").sparkSession.createDataFrame([(p.left, p.right, p.method, p.value, p.n) for p in found.pairs], "left string, right string, method string, value double, n long")
+
+
+@query("mechanism_lineitem")
+def _(t):  # noqa: ANN001, ANN202
+    found = mechanism.mechanism(_holes(t).select("qty", "l_extendedprice", "flag", "l_linestatus"), ["qty"])
+    return t("lineitem").sparkSession.createDataFrame([(m.column, m.verdict, x.predictor, x.test, x.adjusted) for m in found for x in m.tests], "column string, verdict string, predictor string, test string, adjusted double")
+
+
+@query("drift_report_orders")
+def _(t):  # noqa: ANN001, ANN202
+    rep = drift.compare(*(d.select("o_totalprice", "o_orderpriority") for d in _split(t)))
+    return t("orders").sparkSession.createDataFrame([(x.column, x.kind, x.severity) for x in rep.found], "column string, kind string, severity string")
