@@ -63,11 +63,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor loses nothing.
+
+    ``batch_rows`` bounds the Arrow batches of wide rows while it is written; the session's setting is put back.
+    """
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark).rstrip('/')}/datawright-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(setting)
+    try:
+        if batch_rows:
+            spark.conf.set(setting, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,9 @@ BUCKET_BYTES = 12_000_000
 SENT = 6
 #: Items of a chunk or block.
 BLOCK = 512
-_SEEN = 200_000
+#: Rows of an Arrow batch: a row may hold the shingles of a very long text.
+BATCH_ROWS = 1_000
+_SEEN = 100_000
 _U = np.uint64
 
 
@@ -138,6 +140,7 @@ def _by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterator
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, len(keys)):
             yield from run(group)
+        pa.default_memory_pool().release_unused()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
@@ -287,7 +290,7 @@ def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) ->
     ym, y_lost, y_lo, y_hi, y_l0, y_l1 = y
     keep = (100 * x_hi[i] >= percent * y_lo[j]) & (100 * y_hi[j] >= percent * x_lo[i]) & ~((x_l0[i] == x_l1[i]) & (y_l0[j] == y_l1[j]) & (x_l0[i] == y_l0[j]))
     at = np.flatnonzero(keep)
-    step = max(1, 4_000_000 // xm.shape[1])
+    step = max(1, 500_000 // xm.shape[1])
     for a in range(0, len(at), step):
         p, q = i[at[a : a + step]], j[at[a : a + step]]
         common = np.bitwise_count(xm[p] & ym[q]).sum(axis=1, dtype=np.int64) + np.minimum(x_lost[p], y_lost[q])
@@ -384,7 +387,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     buckets = max(32, -(-octets // BUCKET_BYTES))
     packed = _packed_shingles(docs, id_col, text_col, n, buckets, hot_shingles(docs, id_col, text_col, n))
     shared = _by_group(packed, ["bucket"], lambda group: _shared(group, buckets), "key long, size long, shingles binary, often binary")
-    found = staged(_by_group(shared, ["key", "size"], _candidate(percent), "key long, size long, shingles binary, prefix array<long>, low array<long>"), "candidates")
+    found = staged(_by_group(shared, ["key", "size"], _candidate(percent), "key long, size long, shingles binary, prefix array<long>, low array<long>"), "candidates", BATCH_ROWS)
 
     # First components: groups by min-hash, in chunks of a block's size.
     tagged = found.select("key", F.posexplode("low")).select("key", F.xxhash64("pos", "col").alias("group"))
@@ -392,7 +395,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     chunk = F.xxhash64("group", F.pmod(F.xxhash64(F.lit("chunk"), "key", "group"), F.ceil(F.col("many") / BLOCK)))
     chunks = tagged.join(many, "group").select("key", chunk.alias("group"))
     rows = chunks.join(found, "key").select("group", "key", "size", "shingles", F.col("key").alias("label"), F.lit(0).alias("side"))
-    first = staged(_by_group(rows, ["group"], _joined(percent), "a long, b long"), "links")
+    first = staged(_by_group(rows, ["group"], _joined(percent), "a long, b long"), "links", BATCH_ROWS)
     labels = components(first)
 
     # What they leave: prefix shingles whose items lie in several components.
@@ -410,12 +413,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     placed = sided.select("cluster", "pair", "s.block", "s.side").join(blocks.select("cluster", "block", "key"), ["cluster", "block"]).select("pair", "key", "side")
     rows = placed.join(found.select("key", "size", "shingles"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("pair", "key", "size", "shingles", F.coalesce("root", "key").alias("label"), "side")
     rest = _by_group(rows, ["pair"], _joined(percent), "a long, b long")
-    return first.unionByName(staged(rest, "links"))
+    return first.unionByName(staged(rest, "links", BATCH_ROWS))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) for every document; the component's id is its smallest document id."""
-    every = staged(items(docs, id_col, text_col, n), "items")
+    every = staged(items(docs, id_col, text_col, n), "items", BATCH_ROWS)
     labels = components(links(docs, id_col, text_col, n, percent))
     named = every.filter("size > 0").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("id", "size", F.coalesce("root", "key").alias("component"))

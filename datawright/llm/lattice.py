@@ -133,7 +133,7 @@ class Vocabulary:
             return True
         key = left << 20 | right
         if (found := self._fits.get(key)) is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             found = self._fits[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return found
@@ -234,7 +234,7 @@ def stream(vocabulary: Vocabulary, chunks: Iterator[str]) -> Iterator[list[int]]
 class Encoder:
     """Encodes and decodes texts; short stretches between certain boundaries are remembered, in bounded memory."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 150_000, short: int = 64) -> None:
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 60_000, short: int = 64) -> None:
         self.v, self.remembered, self.short = vocabulary, remembered, short
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
