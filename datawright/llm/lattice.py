@@ -133,7 +133,7 @@ class Vocabulary:
             return True
         key = left << 20 | right
         if (found := self._fits.get(key)) is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 600_000:
                 self._fits.clear()
             found = self._fits[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return found
