@@ -80,6 +80,12 @@ def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tagged(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` staged with a column that is unique to each row, and that column's name: ids may be null or repeated."""
+    tag = unused(docs.columns, "row_tag")
+    return staged(docs.select("*", F.monotonically_increasing_id().alias(tag)), name), tag
+
+
 def unused(columns: list[str], stem: str) -> str:
     """A column name that ``columns`` do not have, whatever their case."""
     taken = {c.lower() for c in columns}

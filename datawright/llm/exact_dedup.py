@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged
+from .common import staged, tagged
 
 #: Most counters of a summary, and so most rows that are broadcast (about 100 bytes each).
 COUNTERS = 16_384
@@ -54,14 +54,15 @@ def frequent(digests: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) -
     return digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.max("who").alias("winner"), F.count(F.lit(1)).alias("group_size"))
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy: int = HEAVY) -> DataFrame:
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy: int = HEAVY, tag: Column | None = None) -> DataFrame:
     """(digest, who, winner, group_size) for every row; ``who`` is (id, tag), the tag unique to the row."""
-    tagged = staged(docs.select(digest(F.col(text_col)).alias("digest"), F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("tag")).alias("who")), "digests")
-    winners = staged(frequent(tagged, counters, heavy), "winners")
-    split = tagged.join(F.broadcast(winners), "digest", "left")
+    tag = F.monotonically_increasing_id() if tag is None else tag
+    rows = staged(docs.select(digest(F.col(text_col)).alias("digest"), F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("who")), "digests")
+    winners = staged(frequent(rows, counters, heavy), "winners")
+    split = rows.join(F.broadcast(winners), "digest", "left")
     hot = split.filter("group_size is not null")
     group = W.partitionBy("digest")
-    rest = tagged.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("digest", "who", F.max("who").over(group).alias("winner"), F.count(F.lit(1)).over(group).alias("group_size"))
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("digest", "who", F.max("who").over(group).alias("winner"), F.count(F.lit(1)).over(group).alias("group_size"))
     return hot.select("digest", "who", "winner", "group_size").unionByName(rest)
 
 
@@ -73,9 +74,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy: int = HEAVY) -> DataFrame:
-    """The documents that stay, with all their columns. Ids must be unique and not null here: rows are chosen by id and digest."""
-    gone = mark(docs, id_col, text_col, counters, heavy).filter("who != winner").select(F.col("who.id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The documents that stay, with all their columns. Rows are chosen by a tag of their own: ids may be null or repeated."""
+    every, tag = tagged(docs, "documents")
+    gone = mark(every, id_col, text_col, counters, heavy, F.col(tag)).filter("who != winner").select(F.col("who.tag").alias(tag))
+    return every.join(gone, tag, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of op8's rows.

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tagged
 from .components import components
 from .sentencepiece_codec import parts
 
@@ -428,9 +428,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest id of each component, with all their columns. Ids are unique."""
-    gone = near_duplicates(docs, id_col, text_col, n, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The documents with the smallest id of each component, with all their columns. Of rows that repeat it, one stays; a null id is the smallest."""
+    every, tag = tagged(docs, "documents")
+    who = every.select(F.struct(F.col(id_col).alias("id"), F.col(tag).alias("tag")).alias("who"), F.col(text_col).alias("text"))
+    gone = near_duplicates(who, "who", "text", n, percent).filter("who != component_id").select(F.col("who.tag").alias(tag))
+    return every.join(gone, tag, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of op5's rows: all pairs that share a shingle, so for small tables.

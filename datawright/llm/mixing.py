@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged, unused, words
+from .common import staged, tagged, unused, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -74,10 +74,16 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, bins: int = BINS) -> DataFrame:
     """(id, source, size, source_size, target, taken) for every document."""
+    return _mixed(docs, F.col(id_col), text_col, source_col, weights, share, cap, seed, bins).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, id_: Column, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, bins: int = BINS, tag: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, taken) for every document, and ``tag`` if there is one."""
+    own = [] if tag is None else [tag]
     size = size_of(F.col(text_col))
     sized = staged(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), size.alias("size")).select(
-            "id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / quality_of(F.col("text"), F.col("size"))).alias("key")
+        docs.select(id_.alias("id"), *own, F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), size.alias("size")).select(
+            "id", *own, "source", "size", (-F.log(uniform(F.col("id"), seed)) / quality_of(F.col("text"), F.col("size"))).alias("key")
         ),
         "mixing",
     )
@@ -91,22 +97,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     steps = steps.select(F.col("source").alias("t_source"), F.col("step").alias("t_step"), before("step_size", ["source"], "step").alias("step_start"))
     inside_step = per_bin.select("source", "bin", step.alias("step"), "bin_size").select("source", "bin", "step", before("bin_size", ["source", "step"], "bin").alias("bin_start"))
     starts = inside_step.join(steps, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("step") == F.col("t_step"))).select("source", "bin", (F.col("step_start") + F.col("bin_start")).alias("start"))
-    within = W.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.select("id", "source", "size", "bin", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("inside"))
+    within = W.partitionBy("source", "bin").orderBy("key", "id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
+    placed = sized.select("id", *own, "source", "size", "bin", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("inside"))
     s, a = starts.withColumnRenamed("source", "s_source").withColumnRenamed("bin", "s_bin"), aims.withColumnRenamed("source", "a_source")
     joined = placed.join(s, placed["source"].eqNullSafe(s["s_source"]) & (placed["bin"] == s["s_bin"])).join(a, placed["source"].eqNullSafe(a["a_source"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size") - F.col("start") - F.col("inside")
-    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), left))).alias("taken"))
+    return joined.select("id", *own, "source", "size", "source_size", "target", (epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), left))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, whole texts: a document appears as often as it is taken, a part of at least half counting as a whole. Ids are unique."""
+    """The mix itself, whole texts: a document appears as often as it is taken, a part of at least half counting as a whole. Ids may be null or repeated."""
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    taken = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("id"), copies.alias("copies")).filter("copies > 0")
-    kept = docs.join(taken, docs[id_col] == taken["id"])
-    copy = unused(docs.columns, "copy")
-    return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"])).alias(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    every, tag = tagged(docs, "documents")
+    copy = unused(every.columns, "copy")
+    taken = _mixed(every, F.col(id_col), text_col, source_col, **options, tag=tag).select(tag, copies.alias(copy)).filter(F.col(copy) > 0)
+    kept, columns = every.join(taken, tag), [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy)).select(*columns)
 
 
 #: DuckDB SQL of op9's rows.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WS_RUN, staged, words
+from .common import WS_RUN, staged, tagged, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -153,9 +153,10 @@ def judge(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lan
 
 
 def filtered(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that pass, with all their columns. Ids are unique."""
-    kept = judge(docs, text_col, keys, id_col, **options).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    """The documents that pass, with all their columns. Rows are chosen by a tag of their own: ids may be null or repeated."""
+    every, tag = tagged(docs, "documents")
+    kept = judge(every, text_col, keys, tag, **options).filter("kept").select(tag)
+    return every.join(kept, tag, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of op10's rows.

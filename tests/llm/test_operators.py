@@ -509,6 +509,32 @@ def test_pipeline_stages_by_brute_force(spark, documents):
     assert all(list(r.ids) == library.encode(text[r.doc_id]) for r in out.collect()) and out.count() == mixed.count()
 
 
+@pytest.mark.parametrize("stage", ["quality_rules", "exact_dedup", "near_dedup", "source_mixing"])
+def test_stages_with_null_and_repeated_ids(spark, stage):
+    r = random.Random(31)
+    some = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    t, u, v, w = (some(80) for _ in range(4))
+    run = lambda rows: dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame([(k, x, "en", "a") for k, x in rows], "doc_id long, text string, lang string, source string").repartition(3), SF)
+    common.ship(spark)
+    if stage == "quality_rules":
+        got = run([(None, t), (None, "short"), (5, u), (5, "short"), (6, v), (6, v)])
+        want = [(None, t), (5, u), (6, v), (6, v)]
+    elif stage == "exact_dedup":
+        got = run([(1, t), (1, t), (None, u), (2, u), (None, v), (3, w), (3, ""), (None, None)])
+        want = [(1, t), (2, u), (None, v), (3, w), (3, "")]
+    elif stage == "near_dedup":
+        got = run([(4, t), (4, t), (4, v), (None, u), (6, f"{u} more"), (6, w), (None, ""), (None, None)])
+        want = [(4, t), (4, v), (None, u), (6, w), (None, ""), (None, None)]
+    else:
+        rows = [(None, t), (None, u), (7, v), (7, w)]
+        got = run(rows)
+        copies = Counter((x.doc_id, x.text) for x in got.collect())
+        assert set(copies) == set(rows) and sorted(copies.values()) == [1, 1, 2, 2]
+        want = [x for x, n in copies.items() for _ in range(n)]
+    assert got.columns == ["doc_id", "text", "lang", "source"]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_model_file_is_read_by_its_fields():
     v = lattice.Vocabulary(sentencepiece_codec.model_bytes())
     assert (v.kind, v.byte_fallback, v.dummy_prefix, len(v.pieces)) == (lattice.BPE, True, True, 32_000)
