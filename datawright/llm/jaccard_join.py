@@ -244,12 +244,13 @@ def _candidate(percent: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         """One item from its parts: kept if shared shingles reach into its prefix."""
         size = group.column("size")[0].as_py()
-        found, often = _numbers(group.column("shingles"), np.uint64), _numbers(group.column("often"), np.int32)
+        # Copies of a set in several tasks bring its hot shingles more than once.
+        found, first = np.unique(_numbers(group.column("shingles"), np.uint64), return_index=True)
+        often = _numbers(group.column("often"), np.int32)[first]
         prefix = _least_prefix(size, percent) - (size - len(found))
         if prefix < 1:
             return
         first = found[np.lexsort((found, often))[:prefix]].view(np.int64)
-        found = np.sort(found)
         low = [int(_mixed(found ^ _U(seed)).min().view(np.int64)) for seed in (0x51, 0xA7)]
         yield _batch(
             ["key", "size", "shingles", "prefix", "low"],

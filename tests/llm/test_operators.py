@@ -268,6 +268,19 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_shingles_that_come_twice_count_once():
+    import pyarrow as pa
+
+    hot = np.arange(56, dtype=np.uint64)
+    often = np.full(56, np.iinfo(np.int32).max, np.int32).tobytes()
+    # Five copies of a set of 300 shingles brought its 56 hot ones each; 56 of 300 do not reach into the prefix.
+    group = pa.table({"key": [1] * 5, "size": [300] * 5, "shingles": [hot.tobytes()] * 5, "often": [often] * 5})
+    assert list(jaccard_join._candidate(75)(group)) == []
+    small = pa.table({"key": [1] * 2, "size": [60] * 2, "shingles": [hot.tobytes()] * 2, "often": [often] * 2})
+    (out,) = jaccard_join._candidate(75)(small)
+    assert out.column("shingles")[0].as_py() == hot.tobytes() and len(set(out.column("prefix")[0].as_py())) == 16 - 4
+
+
 def test_near_duplicates_of_nothing(spark, awkward):
     assert jaccard_join.near_duplicates(awkward.limit(0)).count() == 0
     assert set(jaccard_join.representatives(awkward).columns) == set(awkward.columns)
