@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from ..functions.cells import MIXED, UNSUPPORTED, Cell, cell, number, text
 from ..sources.frames import ROW
-from .ordering import EXACT_ROWS, cumulative, quantiles
+from .ordering import cumulative, quantiles
 
 KINDS = ("empty", "unsupported", "constant", "ordinal", "boolean", "datetime", "numeric", "categorical", "text")
 #: Which statistics and charts a kind supports, and why.
@@ -251,7 +251,7 @@ def classify(df: DataFrame, column: str, present: int, distinct: int, temporal:
 def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetProfile:
     """Whole profile: three jobs for all columns, one more for each column with levels or a histogram.
 
-    Distinct values are exact up to ``EXACT_ROWS`` rows and come from sketches beyond, where exact ones would shuffle every column.
+    Distinct values are exact at every size; they are aggregated before they are shuffled.
     """
     rows = df.count()
     names = [c for c in df.columns if c != ROW]
@@ -260,7 +260,7 @@ def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetPr
     def distinct(d: DataFrame, c: str, x: Cell) -> Column:
         # Of a typed column distinct values are distinct texts, and cheaper.
         value = x.text if isinstance(d.schema[c].dataType, (T.StringType, T.StructType, T.ArrayType, T.MapType, T.VariantType, T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
-        return F.countDistinct(value) if rows <= EXACT_ROWS else F.approx_count_distinct(value, 0.01)
+        return F.countDistinct(value)
 
     forms = ["int", "float", "numeric-string", "formatted-numeric-string", "bool", "datetime", "date", "string"]
     first = df.agg(

@@ -343,18 +343,25 @@ class CurrencyContext(Detector):
     def needs(self, c):  # noqa: ANN001, ANN201
         return (c.country, c.currency)
 
-    def findings(self, df, c, v):  # noqa: ANN001, ANN201
-        pairs = df.select(text(df, c.country).alias("country"), F.trim(text(df, c.currency)).alias("currency")).filter("country is not null and currency is not null").groupBy("country", "currency").agg(F.count(F.lit(1)).alias("n"))
-        pairs = pairs.select("*", folded("country").alias("form")).join(F.broadcast(c.pack.table(df.sparkSession, "country").select("form", "id")), "form")
+    @staticmethod
+    def odd(values: DataFrame, c: Context) -> DataFrame:
+        """Those of ``values``, which has a ``country`` and a ``currency``, whose currency is not the country's."""
+        known = values.select("*", folded("country").alias("form")).join(F.broadcast(c.pack.table(values.sparkSession, "country").select("form", "id")), "form")
         expected = F.lit(None).cast("string")
         for k, e in c.expected_currency.items():
             expected = F.when(F.col("id") == k, e).otherwise(expected)
-        odd = pairs.filter(F.col("currency") != expected).orderBy(F.desc("n"), "country", "currency")
-        seen = odd.limit(1000).collect()
-        if not seen:
+        return known.filter(F.col("currency") != expected)
+
+    def findings(self, df, c, v):  # noqa: ANN001, ANN201
+        values = lambda d: [text(d, c.country).alias("country"), F.trim(text(d, c.currency)).alias("currency")]
+        odd = self.odd(df.select(*values(df)).filter("country is not null and currency is not null").groupBy("country", "currency").agg(F.count(F.lit(1)).alias("n")), c)
+        affected = odd.agg(F.sum("n")).first()[0]
+        if not affected:
             return []
-        rows = lambda d: d.join(F.broadcast(d.sparkSession.createDataFrame([(r["country"], r["currency"]) for r in seen], "__a string, __b string")), (text(d, c.country) == F.col("__a")) & (F.trim(text(d, c.currency)) == F.col("__b"))).select(ROW)
-        return [Issue("CURRENCY-context", "currency_context", S.NOTICE, (c.country, c.currency), 0.90, sum(r["n"] for r in seen), (Treatment("define_currency_policy", 0.50),), details={"pairs": {f"{r['country']}/{r['currency']}": r["n"] for r in seen}}, rows=rows)]
+        # The most frequent pairs are shown; count and rows are those of all.
+        seen = odd.orderBy(F.desc("n"), "country", "currency").limit(1000).collect()
+        rows = lambda d: self.odd(d.select(ROW, *values(d)), c).select(ROW)
+        return [Issue("CURRENCY-context", "currency_context", S.NOTICE, (c.country, c.currency), 0.90, affected, (Treatment("define_currency_policy", 0.50),), details={"pairs": {f"{r['country']}/{r['currency']}": r["n"] for r in seen}}, rows=rows)]
 
 
 @register

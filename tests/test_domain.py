@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from datawright.operators import mechanism, panel, timeseries
 from datawright.plans import domain
@@ -40,3 +41,20 @@ def test_streams_are_validated(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [Outcome.CRITICAL]
+
+
+def test_currency_count_and_rows_beyond_the_shown_pairs(spark):
+    from datawright.plans.detectors import Context, CurrencyContext
+
+    df = spark.createDataFrame([(k, "France", "EUR" if k < 5 else f"X{k}") for k in range(1205)], "__row_id long, country string, currency string")
+    (issue,) = CurrencyContext().findings(df, Context(), {})
+    assert issue.affected == 1200 and len(issue.details["pairs"]) == 1000
+    assert {r[0] for r in issue.rows(df).collect()} == set(range(5, 1205))
+
+
+def test_distinct_counts_are_exact_at_every_size(spark, monkeypatch):
+    from datawright.operators import profile
+
+    monkeypatch.setattr(profile, "EXACT_ROWS", 10, raising=False)
+    found = profile.profile(spark.range(30_000).select(F.concat(F.lit("v"), "id").alias("a"))).columns["a"]
+    assert found.distinct == 30_000
