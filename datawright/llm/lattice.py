@@ -232,7 +232,11 @@ def stream(vocabulary: Vocabulary, chunks: Iterator[str]) -> Iterator[list[int]]
 
 
 class Encoder:
-    """Encodes and decodes texts; short stretches between certain boundaries are remembered, in bounded memory."""
+    """Encodes and decodes texts; short stretches between certain boundaries are remembered, in bounded memory.
+
+    Only stretches of over ``short`` characters, and whole texts of a vocabulary without such boundaries, take the streaming pass. Others are encoded
+    whole; a text, its normalised copy and its list of stretches are held at once.
+    """
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = 60_000, short: int = 64) -> None:
         self.v, self.remembered, self.short = vocabulary, remembered, short
