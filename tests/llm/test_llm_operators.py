@@ -489,9 +489,57 @@ def test_sketches_merge(spark):
     whole = quality_rules.sketches(c, ("lang",))
     assert sorted(map(tuple, merged.select("lang", "feature", "bucket", "n").collect())) == sorted(map(tuple, whole.select("lang", "feature", "bucket", "n").collect()))
     exact = {f: sorted(r[0] for r in c.select(e).collect()) for f, e in quality_rules.features().items()}
-    for q in quality_rules.quantiles(whole, ("lang",)).collect():
+    for q in quality_rules.figures(whole, ("lang",)).filter("feature != 'size'").collect():
         value = exact[q.feature][int(np.ceil(0.5 * 300)) - 1]
         assert value * 0.999 <= q.q50 + 1 and q.q50 <= value * quality_rules.GAMMA + 1
+        assert q.rows == 300 and q.others == sum(v > 0 for v in exact[q.feature])
+
+
+def test_fences_follow_their_group(spark):
+    """Sources differ in size and in how usual symbols are: so do the fences of every feature, and the same text is judged by its source."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    rows = []
+    for k in range(3000):
+        source = ["plain", "code", "long"][k % 3]
+        words = [word() + ("s" * (k % 12) if source == "code" else "") for _ in range(600 if source == "long" else r.randint(60, 90))]
+        if source == "code":
+            words = [w + ("#" if r.random() < 0.3 else "") for w in words]
+            words += words[:5] * 2
+        rows.append((k, " ".join(words), "en", source))
+    same = " ".join(word() + ("#" if j % 4 == 0 else "") for j in range(80))
+    rows += [(9001, same, "en", "plain"), (9002, same, "en", "code")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    c = quality_rules.counts(d).withColumn("base_failed", F.lit(False))
+    fence = {x.source: x.asDict() for x in quality_rules.thresholds(c).collect()}
+    for f in quality_rules.EVENT:
+        assert len({fence[s][f"{f}_hi"] for s in fence}) == 3, f
+    assert fence["long"]["symbol_rate_hi"] < fence["plain"]["symbol_rate_hi"] < fence["code"]["symbol_rate_hi"]
+    kept = {x.doc_id: x.kept for x in quality_rules.judge(d).collect()}
+    assert not kept[9001] and kept[9002] and sum(kept.values()) >= 2990
+
+
+def test_small_groups_lean_on_their_parent(spark):
+    """No switch by size: figures of a group of n rows are the mean of its own and the parent's, weighted n to SHRINK."""
+    rows = [(k, " ".join(f"{'ab' if k % 100 else 'abcdefghij'}{j}" for j in range(60)), "en", "big" if k % 100 else "small") for k in range(1000)]
+    c = quality_rules.counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", F.lit(False))
+    sketch = quality_rules.sketches(c)
+    own = {x.source: x for x in quality_rules.figures(sketch, ("lang", "source")).filter("feature = 'word_length'").collect()}
+    lang = quality_rules.figures(sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")), ("lang",)).filter("feature = 'word_length'").first()
+    got = {x.source: x for x in quality_rules.shrunk(sketch, ("lang", "source")).filter("feature = 'word_length'").collect()}
+    for s, n in (("big", 990), ("small", 10)):
+        assert got[s].q50 == pytest.approx((n * own[s].q50 + 200 * lang.q50) / (n + 200))
+    assert own["small"].q50 > lang.q50 * 2 and got["small"].q50 < lang.q50 * 1.2
+
+
+def test_repeats_among_equal_hashes(spark):
+    """Windows of other words between two equal ones in the order of (hash, place) hide no repeat."""
+    words = "a b c x y z a b c".split()
+    # Three windows of one hash: places 0, 3 and 6, of which 0 and 6 have equal words.
+    packed = [(5 << 4) | 0, (5 << 4) | 3, (5 << 4) | 6, (9 << 4) | 1]
+    df = spark.createDataFrame([(words, packed)], "w array<string>, p array<long>")
+    got = df.select(quality_rules._repeat_starts(F.col("p"), F.col("w"), F.lit(4)).alias("r")).first().r
+    assert got == [0, 6]
 
 
 # The pipeline ----------------------------------------------------------------------------------------------------------
