@@ -15,8 +15,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.fit(pages))
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
