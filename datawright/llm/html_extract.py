@@ -9,7 +9,9 @@ below an *in* node all is in, below an *out* node all is out, and only below a *
 The forest is trained on ``TRAIN_PAGES`` generated pages (see ``html_training``), with a fixed seed.
 
 A null page or one without main text gives an empty text. Broken markup is read leniently: unclosed elements end
-with their parents, a new block ends an open paragraph, unclosed comments and raw elements reach to the end.
+with their parents, a new block ends an open paragraph; unclosed comments, scripts and styles reach to the end. Of form controls, graphics and script
+fallbacks nothing is taken; one that is not closed within its parent ends before the next block or at its parent's end, so no later text is lost with it.
+Formulas and fallback text of media count as text.
 Character references are decoded; white space in a block becomes one blank. Nothing is capped.
 """
 
@@ -30,8 +32,9 @@ from .sentencepiece_codec import parts
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select button object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = frozenset("button select datalist svg noscript template".split())
+INLINE = frozenset("math mi mn mo mrow mfrac msup msub msqrt mtext semantics object canvas audio video a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 SCOPE = frozenset("ul ol dl table article aside main section nav body html div blockquote".split())
@@ -50,10 +53,12 @@ WORDS = {
 }
 GROUP = {w: k for k, words in enumerate(WORDS.values()) for w in words}
 BUCKETS = 8
+MOST_UNCLOSED = 200
 NODE = 12  # figures of a node that are filled while parsing
 TRAIN_PAGES, ROUNDS, DEPTH = 400, 20, 5
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 
@@ -67,6 +72,7 @@ class Page:
         self.tokens: list[tuple[str, ...]] = [()]
         self.text: list[str] = [""]
         self.links: list[int] = [0]
+        self.unclosed = 0
         self._read(source)
 
     def _node(self, tag: str, parent: int, tokens: tuple[str, ...] = (), text: str = "", links: int = 0) -> int:
@@ -77,6 +83,34 @@ class Page:
         self.links.append(links)
         return len(self.tag) - 1
 
+    def _skipped(self, source: str, at: int, name: str, around: set[str]) -> int:
+        """Where an element without text of its own ends: at its end tag, or else before the first block or the end of its parent.
+
+        After ``MOST_UNCLOSED`` unclosed ones in a page, further ones end before the first block without a look ahead.
+        """
+        block, inner = None, []
+        look = self.unclosed < MOST_UNCLOSED
+        for found in _TAG.finditer(source, at):
+            if (tag := found[2]) is None:
+                continue
+            tag = tag.lower()
+            if not found[1]:
+                if block is None and (tag in ENDS_P or tag in SIBLINGS and tag != "option"):
+                    block = found.start()
+                    if not look:
+                        return block
+                if tag not in VOID:
+                    inner.append(tag)
+            elif tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            elif tag == name:
+                return found.end()
+            elif tag in around:
+                self.unclosed += 1
+                return found.start() if block is None else block
+        self.unclosed += 1
+        return len(source) if block is None else block
+
     def _read(self, source: str) -> None:
         stack, run, link_run, links = [0], [], [], 0
 
@@ -104,8 +138,12 @@ class Page:
             name, closing = name.lower(), found[1]
             if name in RAW:
                 if not closing:
-                    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else size
+                    close = _CLOSE[name].search(source, at)
+                    at = close.end() if close else size if name in ("script", "style") else at
+                continue
+            if name in SKIPPED:
+                if not closing and not found[3].endswith("/"):
+                    at = self._skipped(source, at, name, {self.tag[k] for k in stack} | {"html", "body"})
                 continue
             if name in INLINE:
                 if name == "a":

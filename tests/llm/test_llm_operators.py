@@ -355,6 +355,30 @@ def test_broken_pages(spark):
     assert len(got) == len(sources) and got[0] == got[1] == "" and got[6].startswith("A & B c d")
 
 
+def test_unclosed_and_embedded_elements_lose_no_text():
+    runs = lambda source: [t for t in html_extract.Page(source).text if t]
+    for name in ("button", "select", "svg", "noscript", "template"):
+        assert runs(f"<article><p>one</p><p>two</p><{name}>x<p>three</p></article><p>four") == ["one", "two", "three", "four"]
+        assert runs(f"<article><p>one <{name}>x</{name}> more</p><p>two <{name}>x <p>three</p></article>") == ["one more", "two", "three"]
+        assert runs(f"<div><p>one <{name}>x</p>two</div>") == ["one", "two"]
+        assert runs(f"<p>a <{name}><{name}>x</{name}><p>y</p></{name}> b") == ["a b"]
+        assert runs(f"<p>a <{name}") == runs(f"<p>a <{name}/>") == ["a"]
+    assert runs("<p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is here</p>") == ["The formula x=1 is here"]
+    assert runs("<p>a <video>no video</video> <canvas>fallback</canvas> b <object>c</object></p>") == ["a no video fallback b c"]
+    assert runs("<p>a<textarea>x<p>b</p>") == ["ax", "b"] and runs("<p>a<textarea>x</textarea>c<p>b</p>") == ["ac", "b"]
+    assert runs("<p>a<script>var t='</p><p>z';</script>b<style>p{}</style>c<title>t</title>") == ["abc"]
+
+
+def test_article_around_unclosed_controls_stays_whole():
+    m = html_extract.model()
+    words = "The council has met on Monday, and its members spoke at length about the new bridge over the river. "
+    page = lambda extra: f"<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>The bridge</h1><p>{words}One.</p><p>{words}Two.{extra}</p><p>{words}Three.</p></article><footer>&copy; The paper, all rights reserved</footer></body></html>"
+    want = ["The bridge", f"{words}One.", f"{words}Two.", f"{words}Three."]
+    for extra in ("", "<button>Share", "<select><option>1<option>2", "<svg><text>q</text>", "<button>Go</button>"):
+        assert html_extract.extract_texts([page(extra)], m)[0].split("\n\n") == want
+    assert html_extract.extract_texts([page(" <math><mi>x</mi></math> too.")], m)[0].split("\n\n")[2] == f"{words}Two. x too."
+
+
 def test_consistent_decoding():
     logs = np.log(np.array([[0.1, 0.1, 0.8], [0.9, 0.05, 0.05], [0.4, 0.6, 0.0001], [0.02, 0.97, 0.01], [0.9, 0.1, 0.0001]]))
     parent = np.array([-1, 0, 1, 0, 3])
