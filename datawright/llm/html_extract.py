@@ -53,7 +53,7 @@ WORDS = {
 }
 GROUP = {w: k for k, words in enumerate(WORDS.values()) for w in words}
 BUCKETS = 8
-MOST_UNCLOSED = 200
+MOST_UNCLOSED = 20
 NODE = 12  # figures of a node that are filled while parsing
 TRAIN_PAGES, ROUNDS, DEPTH = 400, 20, 5
 

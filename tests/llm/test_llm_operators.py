@@ -223,6 +223,60 @@ def test_licenses_on_held_out_variations(spark):
     assert np.mean([got[k] == [] for k, (_, f) in enumerate(made) if f == "unknown"]) > 0.98
 
 
+#: Wordings that are not among the templates, wrapped, in comments, shortened or with names put in.
+HELD_OUT = {
+    "GPL": ["This file is part of Foo.\n\nFoo is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2, or (at your option)\nany later version.", "# This script is licensed under the\n# GNU GPL, v3 or later.", "The code is distributed under the GPL license, see COPYING."],
+    "LGPL": ["This file is part of the Bar Library; you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as\npublished by the Free Software Foundation."],
+    "AGPL": ["You can redistribute the server and/or modify it under the terms of the GNU\nAffero General Public License, version 3, as published by the FSF."],
+    "MIT": ["Copyright (c) 2020 A. N. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe notice shall stay.", "// SPDX-License-Identifier: MIT\npackage foo", "This module is made available under the terms\nof the MIT license; see LICENSE."],
+    "Apache": ["/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */", "The project is released under\nthe Apache license.", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Sources keep this text.", "Use of this source code is governed by the BSD license; it can be\nfound under a BSD-style license that is in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "ISC": ["Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed with it, write to us."],
+    "CC-BY-SA": ["Text on this page is available: it is licensed under a Creative Commons\nAttribution-ShareAlike license."],
+}
+
+
+def test_licenses_of_held_out_notices(spark):
+    common.ship(spark)
+    rows = [(f, t) for f, ts in HELD_OUT.items() for t in ts]
+    docs = spark.createDataFrame([(k, f"Some words before it stand here.\n\n{t}\n\nAnd some after it.") for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs).collect()}
+    assert [(f, got[k], t) for k, (f, t) in enumerate(rows) if got[k] != [f]] == []
+
+
+def brute_licenses(text, model):
+    """(licences, licensed, unknown, candidates) of a text by plain loops over its sentences."""
+    found, unknown = [], 0
+    marked = [x for x in license_scan.sentences(text or "") if re.search(license_scan.ANCHOR, x, re.A)]
+    for sentence in marked:
+        g = set(license_scan.grams(sentence))
+        z = np.array([sum(model.weights[x][k] for x in g if x in model.weights) + model.bias[k] for k in range(len(model.families))]) / model.temperature
+        family = model.families[int(np.argmax(z))]
+        sure = 1 / np.exp(z - z.max()).sum() >= model.cutoff and family != "unknown"
+        held = max((sum(x in g for x in two) / len(two) for t in license_scan.TEMPLATES.get(family, ()) for two in [[x for x in license_scan.grams(t) if " " in x]]), default=0)
+        if sure and held >= license_scan.CONFIRM:
+            found.append(family)
+        else:
+            unknown += 1
+    return sorted(set(found)), len(found), unknown, len(marked)
+
+
+def test_licenses_match_brute_force(spark, documents, awkward):
+    model = license_scan.fit()
+    extra = [(10_000_000 + k, t) for k, t in enumerate([t for ts in HELD_OUT.values() for t in ts] + ["All rights reserved.", "a\n \nlicense\n#\n* MIT license.", "License? Yes! MIT license.\r\n\r\nAll rights\treserved"])]
+    docs = documents.select("doc_id", "text").unionByName(awkward.select((F.col("doc_id") + 20_000_000).alias("doc_id"), "text")).unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.licenses, r.n_licensed, r.n_unknown, r.n_candidates) for r in license_scan.scan(docs, model=model).collect()}
+    assert got == {k: brute_licenses(t, model) for k, t in texts.items()}
+
+
+def test_every_template_is_looked_at():
+    for ts in license_scan.TEMPLATES.values():
+        assert all(re.search(license_scan.ANCHOR, t) for t in ts), ts
+    assert len(license_scan.fit().weights) < license_scan.MOST_FEATURES
+
+
 def test_licenses_of_documents(spark):
     common.ship(spark)
     plain = "just words here"
