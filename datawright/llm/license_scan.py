@@ -94,7 +94,7 @@ def sentences(text: str) -> list[str]:
 
 
 #: Words of the sentences that are looked at.
-ANCHORS = "license licence licensed licenses licences licensing copyright copyleft rights permission redistribution redistributions redistribute domain spdx prohibited mit".split()
+ANCHORS = "license licence licensed licenses licences licensing copyright copyleft rights permission redistribution redistributions redistribute domain spdx prohibited".split()
 ANCHOR = rf"(?i)(?<![a-z0-9])(?:{'|'.join(ANCHORS)})(?![a-z0-9])"
 
 
@@ -140,7 +140,7 @@ def _variation(r: random.Random) -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=2)
-def fit(train: int = TRAIN, seed: int = 11, steps: int = 300, rate: float = 1.0, decay: float = 1e-4) -> Model:
+def fit(train: int = TRAIN, seed: int = 11, steps: int = 200, rate: float = 1.0, decay: float = 1e-4) -> Model:
     """Softmax regression by accelerated gradient descent; small weights become zero, rare n-grams have none."""
     r = random.Random(seed)
     made = [_variation(r) for _ in range(train + train // 3)]
@@ -177,7 +177,7 @@ def fit(train: int = TRAIN, seed: int = 11, steps: int = 300, rate: float = 1.0,
     temperature = min(loss, key=loss.get)
     p = softmax(logits / temperature)
     wrong = (p.argmax(axis=1) != truth) & (p.argmax(axis=1) != len(families) - 1)
-    cutoff = float(min(0.9, max([0.5, *p.max(axis=1)[wrong].tolist()])))
+    cutoff = float(min(0.8, max([0.5, *p.max(axis=1)[wrong].tolist()])))
     kept = {g: tuple(round(float(v), 6) for v in w[k]) for g, k in vocabulary.items() if w[k].any()}
     return Model(families, kept, tuple(round(float(v), 6) for v in b), temperature, cutoff)
 
