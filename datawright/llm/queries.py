@@ -35,8 +35,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc_fixity.records(table(spark, sf_dir, "pages"))
-    return warc_fixity.fixity_report(made, warc_fixity.damaged(made))
+    return warc_fixity.trial(table(spark, sf_dir, "pages"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -451,30 +451,71 @@ def test_boosting_learns():
 # 7: WARC -------------------------------------------------------------------------------------------------------------
 
 
-def test_warc_files_read_back(spark, tmp_path):
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files_read_back(spark, tmp_path, compression):
     common.ship(spark)
-    pages = spark.createDataFrame([(k, f"http://x/{k}", t) for k, t in enumerate(["<p>é</p>", None, "", "a\r\n\r\nb", "x" * 9000])] + [(1500, None, "far")], "page_id long, url string, html string")
-    made = warc_fixity.records(pages)
-    warc_fixity.write_warc(made, str(tmp_path / "w"))
+    pages = spark.createDataFrame([(k, f"http://x/{k}", t) for k, t in enumerate(["<p>é</p>", None, "", "a\r\n\r\nb", "x" * 9000])] + [(1500, None, "far"), (None, "u", "no id"), (None, None, None), (3, "again", "WARC/1.0")], PAGES)
+    warc_fixity.write_warc(warc_fixity.records(pages), str(tmp_path / "w"), compression)
     got = warc_fixity.read_warc(spark, str(tmp_path / "w")).collect()
-    assert sorted(bytes(r.payload).decode() for r in got) == sorted(["<p>é</p>", "", "", "a\r\n\r\nb", "x" * 9000, "far"])
-    leaves = {(r.begin, r.end) for r in warc_fixity.leaves(made).collect()}
-    assert {(r.offset, r.offset + r.length) for r in got} == leaves
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(["<p>é</p>", "", "", "a\r\n\r\nb", "x" * 9000, "far", "no id", "", "WARC/1.0"])
+    leaves = {(r.file, r.begin, r.end) for r in warc_fixity.trees(spark, str(tmp_path / "w")).filter("level = 0").collect()}
+    assert {(r.file, r.offset, r.offset + r.length) for r in got} == leaves
     with pytest.raises(ValueError):
         list(warc_fixity.parse_warc(b"junk"))
 
 
-def test_audit_finds_damage_only(spark):
-    made = warc_fixity.records(spark.createDataFrame([(k, f"u{k}", "p" * (k % 50)) for k in range(3000)], "page_id long, url string, html string"))
-    bad = {17, 999, 1000, 2999}
-    other = made.withColumn("record", F.when(F.col("id").isin(*bad), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
-    a, b = warc_fixity.leaves(made), warc_fixity.leaves(other)
-    found = {(r.file, r.place) for r in warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(b)).filter("status = 'corrupt'").collect()}
-    assert {f * 1000 + p for f, p in found} >= bad
-    assert warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(a)).count() == 0
-    short = warc_fixity.leaves(made.filter("id != 2999"))
-    assert [(r.place, r.status) for r in warc_fixity.audit(warc_fixity.tree(a), warc_fixity.tree(short)).collect()] == [(999, "missing")]
-    assert warc_fixity.fixity_report(made.limit(0), made.limit(0)).count() == 0
+def test_warc_files_by_others(spark, tmp_path):
+    """Records with other header fields, as gzip members, in files of their own names."""
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nwarc-record-id: <urn:uuid:1>\r\nCONTENT-LENGTH:5\r\n\r\nhello\r\n\r\n"
+    two = b"WARC/1.1\r\nContent-Length: 0\r\nWARC-Type: metadata\r\n\r\n\r\n\r\n"
+    common.ship(spark)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    (tmp_path / "b.warc").write_bytes(two)
+    got = sorted((r.file, r.offset, bytes(r.payload)) for r in warc_fixity.read_warc(spark, str(tmp_path)).collect())
+    assert got == [("a.warc.gz", 0, b"hello"), ("a.warc.gz", len(one), b""), ("b.warc", 0, b"")]
+    assert {(r.file, r.name) for r in warc_fixity.trees(spark, str(tmp_path)).filter("level = 0").collect()} == {("a.warc.gz", "urn:uuid:1#0"), ("a.warc.gz", "#0"), ("b.warc", "#0")}
+
+
+def warc(ids, change=lambda k: ""):
+    records = []
+    for k in ids:
+        body = (f"body {k % 50}" + change(k)).encode()
+        records.append(b"WARC/1.0\r\nWARC-Record-ID: <urn:record:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(body), body))
+    return b"".join(records)
+
+
+def test_audit_reports_each_damaged_record_and_no_other(spark, tmp_path):
+    common.ship(spark)
+    for name, ids, change in (("a", range(3000), lambda k: ""), ("b", [k for j in range(3000) if j not in (0, 17, 1500, 2999) for k in ([j, 90_000 + j] if j in (5, 1700) else [j])], lambda k: "longer" if k in (3, 999, 2001) else "")):
+        (tmp_path / name).mkdir()
+        for f in range(3):
+            (tmp_path / name / f"{f}.warc").write_bytes(warc([k for k in ids if k % 90_000 // 1000 == f], change))
+    (tmp_path / "a" / "gone.warc").write_bytes(warc([7_000]))
+    a, b = (warc_fixity.trees(spark, str(tmp_path / name)) for name in "ab")
+    found = {(r.file, r.name, r.status) for r in warc_fixity.audit(a, b).collect()}
+    want = {(k, "missing") for k in (0, 17, 1500, 2999)} | {(k, "corrupt") for k in (3, 999, 2001)} | {(k, "extra") for k in (90_005, 91_700)}
+    assert found == {(f"{k % 90_000 // 1000}.warc", f"urn:record:{k}#0", s) for k, s in want} | {("gone.warc", "urn:record:7000#0", "missing")}
+    assert warc_fixity.audit(a, a).count() == 0
+
+
+def test_trees_differ_only_along_the_way_to_a_record():
+    whole = {n[:2]: n[5] for n in warc_fixity.tree(warc(range(5000)))}
+    part = {n[:2]: n[5] for n in warc_fixity.tree(warc([k for k in range(5000) if k != 2500]))}
+    changed = [k for k in whole.keys() | part.keys() if whole.get(k) != part.get(k)]
+    assert len(changed) <= 2 * (warc_fixity.LEVELS + 1) and {k[0] for k in changed} == set(range(warc_fixity.LEVELS + 1))
+    assert warc_fixity.tree(b"") == []
+
+
+def test_fixity_of_nothing(spark):
+    common.ship(spark)
+    assert warc_fixity.trial(spark.createDataFrame([], PAGES)).count() == 0
+    got = warc_fixity.trial(spark.createDataFrame([(None, None, None), (None, "u", "x"), (5, "u", "x"), (5, "u", "x")], PAGES)).collect()
+    assert sorted((r.page_id or -1) for r in got if r.status != "extra") == [-1, -1, 5, 5]
 
 
 # 8: exact copies -----------------------------------------------------------------------------------------------------
