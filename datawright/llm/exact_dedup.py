@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged, tagged
+from .common import ship, staged, tagged
 
 #: Most counters of a summary, and so most rows that are broadcast (about 100 bytes each).
 COUNTERS = 16_384
@@ -56,6 +56,7 @@ def frequent(digests: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) -
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy: int = HEAVY, tag: Column | None = None) -> DataFrame:
     """(digest, who, winner, group_size) for every row; ``who`` is (id, tag), the tag unique to the row."""
+    ship(docs.sparkSession)
     tag = F.monotonically_increasing_id() if tag is None else tag
     rows = staged(docs.select(digest(F.col(text_col)).alias("digest"), F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("who")), "digests")
     winners = staged(frequent(rows, counters, heavy), "winners")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, train
+from .common import ship
 from .sentencepiece_codec import parts
 
 # Elements by their role in HTML.
@@ -303,6 +304,7 @@ def extract_texts(sources: list[str | None], forest: Forest) -> list[str]:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), forest: Forest | None = None) -> DataFrame:
     """``keep`` columns with ``text`` and ``n_chars`` (code points)."""
     forest = forest or model()
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

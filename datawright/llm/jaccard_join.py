@@ -12,19 +12,22 @@ of the set. Items link when the Jaccard similarity of their sets reaches ``perce
 3. Items are grouped by two min-hashes of their lists, large groups in chunks, and joined by signature trees;
    the links found there make first components. This is a shortcut only.
 4. Every prefix shingle whose items lie in several components is left to check. The items of connected such
-   shingles form clusters; a cluster's blocks of bounded size are joined pairwise by signature trees, but
-   not pairs of blocks within one component. No link is missed: linked items share a prefix shingle, and are
-   either in one component already or in one cluster.
+   shingles form clusters; a cluster's blocks of bounded size are joined by signature trees, those pairs of blocks that share such a
+   shingle and are not both within one component. No link is missed: linked items share a prefix shingle, and are
+   either in one component already or in blocks that share it.
 
 Signature tree: leaves are items with a bitmap of their shingles; a node holds the OR of its children's bitmaps, the range
 of their sizes and components, and the most shingles that a child loses to equal bits. Two nodes are traversed
 together, and dropped when their sizes, or the common bits plus lost shingles, cannot reach the least
 overlap, or when all their items are in one component.
 
-Hot shingles: those in at least ``HOT_SHARE`` of a hash sample of ``SAMPLE`` documents are not
-gathered in a bucket; they return to their items at once and count as the most frequent. Any fixed order of the
+Hot shingles: those that a hash sample finds in ``HOT_SHARE`` of the documents, or in ``HOT_ROWS`` of them if that is less (so no bucket outgrows a
+worker), are not gathered in a bucket; they return to their items at once and count as the most frequent. Any fixed order of the
 shingles gives the same links, so the sample decides costs only.
 
+Hashes: an item is named by 64 bits of its set, and its shingles by 64 bits, of which 48 and the bucket's number travel. Two of n different sets share a name
+with odds of n * n / 4e19 (1e8 sets: 3e-4); two different shingles of one bucket count as equal with odds of 4e-15 a pair.
+
 Nulls, empty texts and texts of white space have no set and link with nothing. Texts of under ``n`` words are one shingle.
 """
 
@@ -38,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, tagged
+from .common import ship, staged, tagged
 from .components import components
 from .sentencepiece_codec import parts
 
 WORDS = 5
 PERCENT = 75
-#: Documents of the sample for hot shingles, the share that makes one hot, and the most of them.
-SAMPLE, HOT_SHARE, MOST_HOT = 2_000, 0.02, 50_000
+#: A shingle is hot in ``HOT_SHARE`` of the documents or ``HOT_ROWS`` of them; ``SAMPLE`` documents that hold it at the limit are sampled on average; at most ``MOST_HOT`` are listed.
+HOT_SHARE, HOT_ROWS, SAMPLE, MOST_HOT = 0.02, 1_000_000, 40, 50_000
 #: Bytes of text for each bucket of shingles: about two million shingles.
 BUCKET_BYTES = 12_000_000
 #: Bytes of a shingle's hash that travel, beside its bucket.
@@ -102,14 +105,15 @@ def items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 def hot_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
     """Sorted hot shingles, at most ``MOST_HOT``: a bounded list that is shipped with the tasks."""
     rows = docs.count()
-    picked = docs.filter(F.pmod(F.xxhash64(F.lit("hot"), F.col(id_col)), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col(text_col).alias("text")).limit(2 * SAMPLE)
+    share = min(HOT_SHARE, HOT_ROWS / max(1, rows))
+    picked = docs.filter(F.pmod(F.xxhash64(F.lit("hot"), F.col(id_col)), F.lit(max(1, int(rows * share / SAMPLE)))) == 0).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 yield _batch(["shingle"], [pa.array(shingles(text, n).view(np.int64))])
 
-    least = max(20, int(HOT_SHARE * min(rows, SAMPLE)))
+    least = max(20, int(share * min(rows, SAMPLE / share)))
     found = picked.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(MOST_HOT)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
@@ -366,18 +370,28 @@ def _joined(percent: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(cluster, key, block, one) of (cluster, key, label): blocks of about ``BLOCK`` items; ``one``: the label of a block within one component.
+    """(cluster, key, block, one) of (cluster, key, label, lead): blocks of about ``BLOCK`` items; ``one``: the label of a block within one component.
 
-    A large component has blocks of its own; the small ones of a cluster share blocks.
+    A large component has blocks of its own. The small ones stand together by their ``lead``, the smallest star that they are in, so that few blocks share
+    a star: the components of a large lead have blocks of their own, those of small leads share blocks.
     """
-    per = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("many"))
-    large = F.col("many") >= BLOCK // 2
-    small = per.filter(~large).groupBy("cluster").agg(F.sum("many").alias("few"))
-    sized = members.join(per, ["cluster", "label"]).join(small, "cluster", "left")
     half = lambda total, of: F.pmod(F.xxhash64(F.lit("block"), F.col(of)), F.ceil(F.col(total) / (BLOCK // 2)))
-    return sized.select(
-        "cluster", "key", F.when(large, F.xxhash64(F.col("label"), half("many", "key"))).otherwise(F.xxhash64(F.lit("small"), half("few", "label"))).alias("block"), F.when(large, F.col("label")).alias("one")
-    )
+    per = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("many"), F.min("lead").alias("lead"))
+    large = F.col("many") >= BLOCK // 2
+    led = per.filter(~large).groupBy("cluster", "lead").agg(F.sum("many").alias("led"))
+    rest = led.filter(F.col("led") < BLOCK // 2).groupBy("cluster").agg(F.sum("led").alias("few"))
+    placed = per.join(led, ["cluster", "lead"], "left").join(rest, "cluster", "left")
+    block = F.when(large, F.lit(None).cast("long")).when(F.col("led") >= BLOCK // 2, F.xxhash64(F.lit("lead"), "lead", half("led", "label"))).otherwise(F.xxhash64(F.lit("rest"), half("few", "lead")))
+    sized = members.select("cluster", "key", "label").join(placed.select("cluster", "label", "many", block.alias("shared")), ["cluster", "label"])
+    return sized.select("cluster", "key", F.coalesce("shared", F.xxhash64(F.col("label"), half("many", "key"))).alias("block"), F.when(F.col("shared").isNull(), F.col("label")).alias("one"))
+
+
+def _block_pairs(blocks: DataFrame, stars: DataFrame) -> DataFrame:
+    """(cluster, block, block2), block <= block2, of the blocks that share a star and are not both of one component: linked items share one."""
+    held = blocks.join(stars.select("key", "least"), "key").groupBy("cluster", "block", "one", "least").agg(F.lit(1).alias("x")).drop("x")
+    other = held.select("least", F.col("block").alias("block2"), F.col("one").alias("one2"))
+    shared = held.join(other, "least").filter((F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("one") == F.col("one2"), F.lit(False)))
+    return shared.select("cluster", "block", "block2").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -403,11 +417,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     open_ = bucketed.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("key").alias("least")).filter("lo < hi")
     stars = staged(bucketed.join(open_.select("shingle", "least"), "shingle").groupBy("key", "label", "least").agg(F.lit(1).alias("one")).select("key", "label", "least"), "stars")
     clusters = components(stars.select(F.col("key").alias("a"), F.col("least").alias("b")))
-    members = stars.select("key", "label").distinct().join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
-    blocks = staged(_blocks(members.select("cluster", "key", "label")), "blocks")
-    each = blocks.select("cluster", "block", "one").distinct()
-    other = each.select("cluster", F.col("block").alias("block2"), F.col("one").alias("one2"))
-    pairs = each.join(other, "cluster").filter((F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("one") == F.col("one2"), F.lit(False)))
+    leads = stars.groupBy("key", "label").agg(F.min("least").alias("lead"))
+    members = leads.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
+    blocks = staged(_blocks(staged(members.select("cluster", "key", "label", "lead"), "members")), "blocks")
+    pairs = staged(_block_pairs(blocks, stars), "pairs")
     sided = pairs.select("cluster", F.xxhash64("cluster", "block", "block2").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.when(F.col("block") == F.col("block2"), 0).otherwise(1).alias("side"))))).alias("s"))
     placed = sided.select("cluster", "pair", "s.block", "s.side").join(blocks.select("cluster", "block", "key"), ["cluster", "block"]).select("pair", "key", "side")
     rows = placed.join(found.select("key", "size", "shingles"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("pair", "key", "size", "shingles", F.coalesce("root", "key").alias("label"), "side")
@@ -417,12 +430,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) for every document; the component's id is its smallest document id."""
+    ship(docs.sparkSession)
     every = staged(items(docs, id_col, text_col, n), "items")
     labels = components(links(docs, id_col, text_col, n, percent))
-    named = every.filter("size > 0").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    named = named.select("id", "size", F.coalesce("root", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    sets = named.join(least, "component").select("id", "size", "component_id")
+    # Items first, one row each; then one join by item. A component or an item with very many documents meets no more than a row at a time on the other side.
+    least = staged(every.filter("size > 0").groupBy("key").agg(F.min("id").alias("least")), "least")
+    joined = least.join(labels.withColumnRenamed("node", "key"), "key")
+    roots = staged(joined.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    found = staged(labels.join(roots, "root").select(F.col("node").alias("key"), "component_id"), "named")
+    named = staged(least.join(found, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "components")
+    sets = every.filter("size > 0").join(named, "key").select("id", "size", "component_id")
     return sets.unionByName(every.filter("size = 0").select("id", "size", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 

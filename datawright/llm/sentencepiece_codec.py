@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
 from .lattice import Encoder, loaded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -45,6 +46,7 @@ def parts(batch: pa.RecordBatch, text_at: int, most: int = PART_CHARS) -> Iterat
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, verify: bool = False) -> DataFrame:
     """``keep`` columns with ``n_tokens`` (long) and ``ids`` (array of int); with ``verify`` also ``decoded``: whether decoding gives the text back (a null counts as empty)."""
     data = model_bytes(model)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(Encoder, data)
@@ -71,6 +73,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 def decode(encoded: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """``keep`` columns with ``text``; null ids give an empty text."""
     data = model_bytes(model)
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(Encoder, data)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
 from .lattice import BPE, Vocabulary, loaded, stream
 from .sentencepiece_codec import MODEL, model_bytes, parts
 
@@ -121,6 +122,7 @@ class CountingTrie:
 def count_tokens(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """``keep`` columns with ``n_pretokens`` and ``n_tokens`` (long)."""
     data = model_bytes(model)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = loaded(CountingTrie, data)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, tagged
+from .common import ascii_lower, ship, staged, tagged
 
 #: (verdict, host/path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -163,7 +163,7 @@ def located(pages: DataFrame, url_col: str = "url", rules: Iterable[tuple[str, s
 
 def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id",), rules: Iterable[tuple[str, str]] = RULES, known: Mapping[str, Iterable[str]] = KNOWN, base: Iterable[str] | None = None) -> DataFrame:
     """``keep`` columns with ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (log odds of bad; null where a rule decides)."""
-    spark = pages.sparkSession
+    spark = ship(pages.sparkSession)
     base = tuple(vocabulary() if base is None else base)
     every, tag = tagged(pages, "pages")
     found = staged(located(every, url_col, rules, F.col(tag).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")), "urls")

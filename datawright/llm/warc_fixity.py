@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import shared_dir, ship, staged
 
 FAN_OUT = 16
 RECORDS_PER_FILE = 1_000
@@ -80,7 +80,7 @@ def parse_warc(content: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of the WARC files below a folder; a file is named by its folder ``file=<n>``, or else by its own name."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path)
+    found = ship(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path)
     named = F.regexp_extract("path", "/file=(-?[0-9]+)/[^/]*$", 1)
     return found.select(F.when(named != "", named).otherwise(F.regexp_extract("path", "([^/]*)$", 1)).alias("file"), "content")
 

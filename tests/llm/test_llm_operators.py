@@ -339,6 +339,28 @@ def test_components_match_brute_force(spark, monkeypatch, hot, block):
     assert got == brute_components(rows)
 
 
+def test_a_cluster_of_many_blocks_makes_few_pairs(spark, monkeypatch):
+    """A chain of 300 texts, each sharing passages with the next: one cluster of over 20 blocks, of which only neighbours are joined."""
+    r = random.Random(21)
+    passage = [" ".join(f"c{r.randrange(10**6)}" for _ in range(30)) for _ in range(301)]
+    rows = [(k, f"{passage[k]} {passage[k + 1]}") for k in range(300)]
+    rows += [(2000 + k, rows[k][1]) for k in range(0, 300, 11)]
+    made = []
+    pairs = jaccard_join._block_pairs
+
+    def counted(blocks, stars):
+        found = common.staged(pairs(blocks, stars), "pairs")
+        made.append((blocks.select("cluster").distinct().count(), blocks.select("block").distinct().count(), found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "_block_pairs", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    (clusters, blocks, joined), = made
+    assert clusters < blocks / 20 and joined < blocks * (blocks + 1) / 2 / 4, made
+
+
 def test_blocks_match_brute_force():
     rows = near_copies(4)
     sets = [jaccard_join.shingles(t) for _, t in rows]
@@ -377,6 +399,18 @@ def test_hot_shingles_that_come_twice_count_once():
     assert out.column("shingles")[0].as_py() == hot.tobytes() and len(set(out.column("prefix")[0].as_py())) == 16 - 4
 
 
+def test_shingles_in_very_many_documents_are_hot(spark, monkeypatch):
+    common.ship(spark)
+    rows = [(k, " ".join(f"t{k}_{j}" for j in range(6)) + (" one two three four five" if k % 10 == 0 else "")) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jaccard_join.hot_shingles(docs, "doc_id", "text", 5)) == 1
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 0.5)
+    assert len(jaccard_join.hot_shingles(docs, "doc_id", "text", 5)) == 0
+    # Not a share of all documents, but as many rows as a bucket may hold of one shingle.
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 200)
+    assert len(jaccard_join.hot_shingles(docs, "doc_id", "text", 5)) == 1
+
+
 def test_near_duplicates_of_nothing(spark, awkward):
     assert jaccard_join.near_duplicates(awkward.limit(0)).count() == 0
     assert set(jaccard_join.representatives(awkward).columns) == set(awkward.columns)
