@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 
@@ -20,6 +20,8 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Characters of a text that are read at a time.
+CHUNK = 65_536
 #: A unigram model's unknown character scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -109,6 +111,9 @@ class Vocabulary:
     def normalised(self, text: str) -> str:
         return ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
 
+    def continued(self, text: str) -> str:
+        return text.replace(" ", SPACE)
+
     def spelled(self, char: str) -> tuple[int, ...]:
         """Ids of a character without a piece."""
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_fallback else (self.unknown,)
@@ -234,8 +239,9 @@ def stream(vocabulary: Vocabulary, chunks: Iterator[str]) -> Iterator[list[int]]
 class Encoder:
     """Encodes and decodes texts; short stretches between certain boundaries are remembered, in bounded memory.
 
-    Only stretches of over ``short`` characters, and whole texts of a vocabulary without such boundaries, take the streaming pass. Others are encoded
-    whole; a text, its normalised copy and its list of stretches are held at once.
+    A text is read in chunks of ``CHUNK`` characters; what is held of it is one chunk and the stretch that it cuts. At a boundary that no piece crosses
+    all surviving paths meet, so the ids before it are committed. Stretches of over ``short`` characters take the windowed pass of ``stream``; shorter ones
+    fit into its window whole and are remembered.
     """
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = 60_000, short: int = 64) -> None:
@@ -286,14 +292,32 @@ class Encoder:
         return tuple(found[::-1])
 
     def encode(self, text: str) -> list[int]:
-        whole = self.v.normalised(text)
-        if self.v.segments is None:
-            return [i for part in stream(self.v, iter([whole])) for i in self._spell(part)]
+        return [i for part in self.encode_stream(text[a : a + CHUNK] for a in range(0, len(text), CHUNK)) for i in part]
+
+    def encode_stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a text that comes in chunks, as they become final: the boundary before the last stretch of what has come is one that all paths share."""
+        v, window = self.v, ""
+        whole = (v.continued(c) if k else v.normalised(c) for k, c in enumerate(c for c in chunks if c))
+        if v.segments is None:
+            yield from map(self._spell, stream(v, whole))
+            return
+        for chunk in whole:
+            found = v.segments.findall(window + chunk)
+            # The last stretch may go on in the next chunk.
+            window = found.pop()
+            yield self._known(found)
+        if window:
+            yield self._known([window])
+
+    def _known(self, stretches: list[str]) -> list[int]:
         ids: list[int] = []
-        extend, segment = ids.extend, self.segment
-        for s in self.v.segments.findall(whole):
-            found = self.young.get(s)
-            extend(segment(s) if found is None else found)
+        extend, segment, young = ids.extend, self.segment, self.young.get
+        for s in stretches:
+            found = young(s)
+            if found is None:
+                found = segment(s)
+                young = self.young.get
+            extend(found)
         return ids
 
     def decode(self, ids: list[int]) -> str:

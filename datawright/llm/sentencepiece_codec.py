@@ -3,7 +3,7 @@
 Ids equal those of the public library for models with the identity normaliser, unigram or BPE, with byte fallback.
 Nulls and empty texts give no ids. Decoding gives the text back exactly, unless it holds U+2581, which
 stands for a blank, or, without byte fallback, characters that the model lacks.
-Texts of any length are handled: only the window and the ids of one text are held. Repeated rows are encoded each.
+Texts of any length are handled: beside a text and its ids one chunk of it is held. Repeated rows are encoded each.
 """
 
 from __future__ import annotations

@@ -102,6 +102,15 @@ def test_streaming_commits_the_same_pieces_in_a_bounded_window(library):
     assert coder._spell(found) == library.encode(text) and most < 16 * v.longest
 
 
+def test_chunks_of_any_size_give_the_same_ids(library):
+    v = lattice.Vocabulary(sentencepiece_codec.model_bytes())
+    r = random.Random(9)
+    for t in random_texts(300, 8) + ["a" * 500, " " * 300 + "x", "word " * 200, "日本" * 100 + " end", "====" * 50]:
+        coder, cuts = lattice.Encoder(v, remembered=50), sorted(r.randrange(len(t) + 1) for _ in range(r.randint(0, 6)))
+        chunks = [t[a:b] for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True)]
+        assert [i for part in coder.encode_stream(chunks) for i in part] == library.encode(t)
+
+
 def test_unigram_mode_takes_the_best_score():
     raw = sentencepiece_codec.model_bytes()
     at = raw.rindex(b"\x18\x02 \x80\xfa\x01")  # the model type, which becomes unigram
