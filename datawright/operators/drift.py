@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_missing, number, text
 from ..sources.frames import ROW
-from .ordering import cumulative, quantiles
+from .ordering import cumulative, place, quantiles
 
 # From which PSI or KS a drift has which severity; the same for JSD.
 PSI_STEPS, KS_STEPS, JSD_STEPS = (0.05, 0.1, 0.25, 0.5), (0.1, 0.15, 0.25, 0.4), (0.01, 0.05, 0.1)
+#: Levels that a report names; all are counted.
+SHOWN = 50
 LEVELS = ("none", "minor", "moderate", "severe", "extreme")
 
 
@@ -24,16 +26,13 @@ def _sides(reference: DataFrame, current: DataFrame, column: str, read: Callable
 
 def bin_edges(reference: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Inner edges: the distinct quantiles of the reference between its extremes; one value alone has none."""
-    found = reference.agg(quantiles(number(reference, column), [k / bins for k in range(bins + 1)])).first()[0]
+    found = quantiles(reference, {"x": number(reference, column)}, [k / bins for k in range(bins + 1)])["x"]
     return sorted(set(found))[1:-1] if found else []
 
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """(psi): population stability index over the reference's quantile bins."""
-    place = F.lit(0)
-    for e in bin_edges(reference, column, bins):
-        place = place + (F.col("x") >= F.lit(e)).cast("int")
-    counted = _sides(reference, current, column, number).groupBy(place.alias("bin")).agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
+    counted = _sides(reference, current, column, number).groupBy(place("x", bin_edges(reference, column, bins)).alias("bin")).agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
     totals = counted.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     share = lambda k: F.greatest(F.col(k) / F.col(f"n{k}"), F.lit(floor))
     return counted.crossJoin(F.broadcast(totals)).agg(F.sum((share("c") - share("r")) * F.log(share("c") / share("r"))).alias("psi"))  # totals: one row
@@ -113,8 +112,11 @@ def compare(reference: DataFrame, current: DataFrame) -> DriftReport:
             report.found.append(Drift(c, "numeric", severity, {"psi": p, "ks": d, "mean_shift": abs(means[1] - means[0]) / (abs(means[0]) or 1.0)}))
         elif present:
             j = jensen_shannon(reference, current, c).first()[0]
-            new, lost = (tuple(r[0] for r in x.orderBy("level").limit(50).collect()) for x in (new_levels(reference, current, c), new_levels(current, reference, c)))
-            report.found.append(Drift(c, "categorical", "severe" if new else LEVELS[step_of(j, JSD_STEPS)], {"jsd": j}, new, lost))
+            # All are counted; the report shows the first ones.
+            new, lost = new_levels(reference, current, c), new_levels(current, reference, c)
+            many = [x.count() for x in (new, lost)]
+            shown = [tuple(r[0] for r in x.orderBy("level").limit(SHOWN).collect()) for x in (new, lost)]
+            report.found.append(Drift(c, "categorical", "severe" if many[0] else LEVELS[step_of(j, JSD_STEPS)], {"jsd": j, "new": float(many[0]), "lost": float(many[1])}, *shown))
         m = missing_drift(reference, current, c).first()
         if abs(m["change"]) >= 0.05:
             report.found.append(Drift(c, "missing", "severe" if abs(m["change"]) > 0.25 else "moderate" if abs(m["change"]) > 0.1 else "minor", {"change": m["change"]}))

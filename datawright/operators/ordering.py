@@ -1,28 +1,45 @@
 """Cumulative sums in the order of a value, without putting all rows into one task; exact quantiles.
 
 Values are counted first; bounded split points cut them into ordered buckets, bucket sums are added up in a table of at most
-``SPLITS + 1`` rows, and the running sums within buckets do the rest.
+``SPLITS + 1`` rows, and the running sums within buckets do the rest. Quantiles are narrowed down by sketches and read off exactly.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SPLITS = 64
-#: Up to so many rows quantiles are exact aggregates; beyond, a sketch of relative rank error 1e-5 replaces them.
-EXACT_ROWS = 50_000_000
+#: Values that are gathered to read order statistics off, and the accuracy of the sketches that narrow them down.
+GATHERED, ACCURACY = 100_000, 10_000
+
+
+def place(name: str, edges: list) -> Column:
+    """How many of the ascending ``edges`` are at or below the column's value: a balanced tree of comparisons, as deep as their logarithm."""
+
+    def literal(e) -> str:  # noqa: ANN001
+        if isinstance(e, float):
+            return f"{e!r}D" if math.isfinite(e) else f"CAST('{e}' AS DOUBLE)"
+        return str(e) if isinstance(e, int) else f"CAST('{e}' AS TIMESTAMP)"
+
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        at = (lo + hi) // 2
+        return f"CASE WHEN `{name}` < {literal(edges[at])} THEN {tree(lo, at)} ELSE {tree(at + 1, hi)} END"
+
+    return F.expr(tree(0, len(edges)))
 
 
 def cumulative(counted: DataFrame, key: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
     """``counted`` (one row for each ``by`` and ``key``) with ``cum_<s>``: the sums of all keys up to its own."""
     by = by or []
     splits = counted.agg(F.percentile_approx(key, [i / SPLITS for i in range(1, SPLITS)], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for s in sorted(set(splits)):
-        bucket = bucket + (F.col(key) >= F.lit(s)).cast("int")
-    cut = counted.withColumn("__bucket", bucket)
+    cut = counted.withColumn("__bucket", place(key, sorted(set(splits))))
     ahead = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy(*by, "__bucket").agg(*[F.sum(s).alias(s) for s in sums])
     starts = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b"), *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"__start_{s}") for s in sums])
@@ -33,11 +50,50 @@ def cumulative(counted: DataFrame, key: str, sums: list[str], by: list[str] | No
     return cut.join(starts, on).select(*counted.columns, *[(F.col(f"__start_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums])
 
 
-def quantiles(c: Column, probabilities: list[float], rows: int | None = None) -> Column:
-    """Array of linearly interpolated quantiles; from a sketch if there are known to be over ``EXACT_ROWS`` rows."""
-    if rows is not None and rows > EXACT_ROWS:
-        return F.percentile_approx(c, probabilities, 100_000)
-    return F.percentile(c, F.array(*[F.lit(p) for p in probabilities]))
+def _interpolated(low: float, high: float, share: float) -> float:
+    return low if low == high or not share else low + (high - low) * share
+
+
+def quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: list[float]) -> dict[str, list[float] | None]:
+    """Exact linearly interpolated quantiles of numeric expressions, nulls left out; None for one without values.
+
+    A sketch of all columns brackets each order statistic; each further pass narrows the brackets by the sketch's accuracy until about
+    ``GATHERED`` values lie inside, and a last one reads the order statistics off. Up to 10^8 rows that is two passes, whatever the
+    number of columns; no task holds more than the values inside.
+    """
+    names, step = list(columns), 2.0 / ACCURACY
+    picked = df.select(*[columns[c].cast("double").alias(f"q{k}") for k, c in enumerate(names)])
+    ends = picked.agg(*[F.struct(F.count(f"q{k}").alias("n"), F.min(f"q{k}").alias("lo"), F.max(f"q{k}").alias("hi")).alias(f"q{k}") for k in range(len(names))]).first()
+    # (column, probability): bracket, and about how many values lie inside.
+    brackets = {(k, p): (ends[k]["lo"], ends[k]["hi"], ends[k]["n"]) for k in range(len(names)) for p in probabilities if ends[k]["n"]}
+    inside = lambda k, a, b: F.when((F.col(f"q{k}") > a) & (F.col(f"q{k}") < b), F.col(f"q{k}"))
+    while wide := {at: v for at, v in brackets.items() if v[2] > GATHERED and v[0] < v[1]}:
+        made = picked.agg(*[F.struct(F.count_if(F.col(f"q{k}") <= a).alias("before"), F.count(inside(k, a, b)).alias("m")).alias(f"s{i}") for i, ((k, _), (a, b, _)) in enumerate(wide.items())]).first()
+        cuts = []
+        for one, ((k, p), (a, b, _)) in zip(made, wide.items(), strict=True):
+            at = min(1.0, max(0.0, ((ends[k]["n"] - 1) * p - one["before"]) / max(1, one["m"])))
+            cuts.append(F.percentile_approx(inside(k, a, b), [max(0.0, at - step), min(1.0, at + step)], ACCURACY))
+        for one, cut, (at, (a, b, _)) in zip(made, picked.agg(*cuts).first(), wide.items(), strict=True):
+            rank = (ends[at[0]]["n"] - 1) * at[1] - one["before"]
+            # The bracket's own ends stay where the sketch's first or last value may not hold the order statistic.
+            low = a if cut is None or rank <= 3 * step * one["m"] else cut[0]
+            high = b if cut is None or rank >= (1 - 3 * step) * one["m"] - 1 else cut[1]
+            brackets[at] = (low, high, min(one["m"] - 1, int(8 * step * one["m"])) if one["m"] else 0)
+    last = []
+    for (k, p), (a, b, _) in brackets.items():
+        x, h = F.col(f"q{k}"), (ends[k]["n"] - 1) * p
+        before, equal, many = F.count_if(x < a), F.count_if(x == a), F.count(inside(k, a, b))
+        held = F.sort_array(F.collect_list(inside(k, a, b)))
+        rank = lambda r: F.when(F.lit(r) < before, None).when(F.lit(r) < before + equal, F.lit(a)).when(F.lit(r) < before + equal + many, F.get(held, (F.lit(r) - before - equal).cast("int"))).when(F.lit(r) < before + equal + many + F.count_if(x == b), F.lit(b))
+        last.append(F.struct(rank(math.floor(h)).alias("low"), rank(math.ceil(h)).alias("high")))
+    found: dict[str, list[float] | None] = {c: None if not ends[k]["n"] else [] for k, c in enumerate(names)}
+    if last:
+        for ((k, p), _), one in zip(brackets.items(), picked.agg(*last).first(), strict=True):
+            low, high, h = one["low"], one["high"], (ends[k]["n"] - 1) * p
+            if low is None or high is None:  # beyond the sketch's stated error: the plain aggregate
+                low = high = picked.agg(F.percentile(f"q{k}", p)).first()[0]
+            found[names[k]].append(_interpolated(low, high, h - math.floor(h)))
+    return found
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions.cells import is_missing, number, text
 from ..sources.frames import ROW
-from .ordering import cumulative
+from .ordering import cumulative, quantiles
 from .profile import levels_of, skewness
 
 SMOOTHING, FOLDS, MAX_ONE_HOT = 10.0, 5, 1_000
@@ -42,8 +42,16 @@ def fill_value(df: DataFrame, column: str, method: str, value: Any = 0) -> Any:
     if method == "mode":
         first = df.filter(~is_missing(df, column)).groupBy(column).count().orderBy(F.desc("count"), column).first()
         return first[0] if first else None
-    aggregate = {"mean": F.avg, "median": F.median}[method]
-    return df.agg(aggregate(number(df, column))).first()[0]
+    if method == "median":
+        return _median(df, column)
+    if method != "mean":
+        raise ValueError(f"unknown imputation {method!r}")
+    return df.agg(F.avg(number(df, column))).first()[0]
+
+
+def _median(df: DataFrame, column: str) -> float | None:
+    found = quantiles(df, {"x": number(df, column)}, [0.5])["x"]
+    return found[0] if found else None
 
 
 def impute(df: DataFrame, column: str, value: Any) -> DataFrame:
@@ -164,7 +172,7 @@ def fit_scale(df: DataFrame, column: str, method: str) -> dict[str, float]:
         low, high = one(F.min(x), F.max(x))
         return {"min": low, "range": (high - low) or 1.0}
     if method == "robust":
-        q = one(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))[0]
+        q = quantiles(df, {"x": x}, [0.25, 0.5, 0.75])["x"]
         return {"median": q[1], "iqr": (q[2] - q[0]) or 1.0}
     if method == "maxabs":
         return {"maxabs": one(F.max(F.abs(x)))[0] or 1.0}
@@ -249,7 +257,7 @@ class Preprocessor:
             if m == "interpolate":
                 return lambda d: interpolate(d, c, o.get("order", ROW), o.get("by"))
             if m == "group_median":
-                medians, fallback = group_medians(df, c, o["by"]), df.agg(F.median(number(df, c))).first()[0]
+                medians, fallback = group_medians(df, c, o["by"]), _median(df, c)
                 return lambda d: impute_by_group(d, c, o["by"], medians, fallback)
             value = fill_value(df, c, m, o.get("value", 0))
             return lambda d: impute(d, c, value)
@@ -327,20 +335,35 @@ class Advice:
     kind: str
     method: str
     reason: str
+    #: How sure the advice is, from 0 to 1, and what else would do.
+    confidence: float = 0.8
+    alternatives: tuple[str, ...] = ()
+
+
+#: Other methods that would do for one.
+ALTERNATIVES = {
+    "missing": (), "median": ("mean", "group_median"), "mode": ("constant",), "ffill": ("interpolate", "bfill"), "log1p": ("yeo_johnson", "quantile_rank"), "robust": ("quantile_rank", "standard"), "standard": ("minmax", "robust"),
+    "ordinal": ("one_hot",), "one_hot": ("frequency", "target"), "target": ("frequency", "count"), "frequency": ("count", "target"),
+}
 
 
 def recommend(df: DataFrame, goal: str = "machine_learning", target: str | None = None, max_cardinality: int = 50) -> list[Advice]:
     """Indicator, imputation, encoding and scaling for each column, by goal."""
-    found = []
+    found: list[Advice] = []
+
+    def advise(column: str, kind: str, method: str, reason: str, confidence: float) -> None:
+        found.append(Advice(column, kind, method, reason, round(confidence, 2), ALTERNATIVES[method]))
+
     names = [c for c in df.columns if c not in (ROW, target)]
     x = {c: number(df, c) for c in names}
     first = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.struct(F.count_if(is_missing(df, c)).alias("missing"), F.count(v).alias("n"), F.countDistinct(text(df, c)).alias("distinct"), F.skewness(v).alias("g1"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias(f"c{k}") for k, (c, v) in enumerate(x.items())],
+        *[F.struct(F.count_if(is_missing(df, c)).alias("missing"), F.count(v).alias("n"), F.countDistinct(text(df, c)).alias("distinct"), F.skewness(v).alias("g1"), F.min(v).alias("min")).alias(f"c{k}") for k, (c, v) in enumerate(x.items())],
     ).first()
     one = {c: first[f"c{k}"] for k, c in enumerate(names)}
     numeric = [c for c in names if one[c]["n"] and one[c]["n"] >= 0.9 * (first["rows"] - one[c]["missing"])]
-    fences = {c: (lambda q: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])))(one[c]["q"]) for c in numeric}
+    quarters = quantiles(df, {c: x[c] for c in numeric}, [0.25, 0.75]) if numeric else {}
+    fences = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quarters.items()}
     outside = df.agg(*[F.count_if((x[c] < fences[c][0]) | (x[c] > fences[c][1])) for c in numeric]).first() if numeric else ()
     beyond = dict(zip(numeric, outside, strict=True))
     for c in names:
@@ -349,19 +372,19 @@ def recommend(df: DataFrame, goal: str = "machine_learning", target: str | None
         skew = abs(s["g1"] or 0.0) * ((n * (n - 1)) ** 0.5 / (n - 2) if n > 2 else 1.0)
         if missing > 0:
             if missing > 0.05:
-                found.append(Advice(c, "indicator", "missing", f"{missing:.1%} missing; absence may carry information"))
+                advise(c, "indicator", "missing", f"{missing:.1%} missing; absence may carry information", min(0.95, 0.7 + missing))
             how = "ffill" if goal == "time_series" else "mode" if not is_number else "median"
-            found.append(Advice(c, "impute", how, "skewed: the median resists the tail" if how == "median" and skew > 1 else "the middle of a symmetric column" if how == "median" else "follows the order of time" if how == "ffill" else "the most frequent level"))
+            advise(c, "impute", how, "skewed: the median resists the tail" if how == "median" and skew > 1 else "the middle of a symmetric column" if how == "median" else "follows the order of time" if how == "ffill" else "the most frequent level", 0.9 - missing / 2)
         if is_number:
             if n >= 3 and goal != "tree":
                 how = "log1p" if skew > 2 and s["min"] >= 0 else "robust" if beyond[c] > 0.05 * n else "standard"
-                found.append(Advice(c, "scale", how, {"log1p": "long right tail without negatives", "robust": "many values outside the fences", "standard": "no strong tail"}[how]))
+                advise(c, "scale", how, {"log1p": "long right tail without negatives", "robust": "many values outside the fences", "standard": "no strong tail"}[how], 0.9 if how != "standard" or skew < 1 else 0.7)
         elif s["distinct"] > 1 and isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType)):
             d = s["distinct"]
             if d > max_cardinality and first["rows"] and d > 0.95 * first["rows"]:
                 continue
             how = "ordinal" if levels_of(df, c) or d <= 2 else "one_hot" if d <= 15 else "target" if target and goal in ("machine_learning", "tree") else "frequency"
-            found.append(Advice(c, "encode", how, {"ordinal": "declared order or two levels", "one_hot": "few levels", "target": "many levels and a target", "frequency": "many levels"}[how]))
+            advise(c, "encode", how, {"ordinal": "declared order or two levels", "one_hot": "few levels", "target": "many levels and a target", "frequency": "many levels"}[how], 0.95 if levels_of(df, c) or d <= 10 else 0.75)
     return found
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from ..functions.cells import MIXED, UNSUPPORTED, Cell, cell, number, text
 from ..sources.frames import ROW
-from .ordering import cumulative, quantiles
+from .ordering import cumulative, place, quantiles
 
 KINDS = ("empty", "unsupported", "constant", "ordinal", "boolean", "datetime", "numeric", "categorical", "text")
 #: Which statistics and charts a kind supports, and why.
@@ -47,51 +47,61 @@ def kurtosis(n: Column, g2: Column) -> Column:
     return F.when((n > 3) & g2.isNotNull() & ~F.isnan(g2), (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * g2 + 6.0)).otherwise(F.lit(0.0))
 
 
-def numeric_summary(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, mean, std (population), min, q1, median, q3, max, skew, kurtosis, zeros, negatives, infinities, outliers.
 
-    Two passes: moments and quantiles of all columns together, then outliers beyond 1.5 interquartile ranges (0 if that range is 0).
+    Moments of all columns together, their exact quantiles, then outliers beyond 1.5 interquartile ranges (0 if that range is 0).
     """
     finite = {c: F.when(F.abs(number(df, c)) != float("inf"), number(df, c)) for c in columns}
     first = df.agg(
         *[
             F.struct(
-                F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), quantiles(x, [0.25, 0.5, 0.75], rows).alias("q"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+                F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
                 F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"), F.count_if(F.abs(number(df, c)) == float("inf")).alias("infinities"),
             ).alias(f"s{k}")
             for k, (c, x) in enumerate(finite.items())
         ]
     )
-    made = first.first()
+    made, cuts = first.first(), quantiles(df, finite, [0.25, 0.5, 0.75])
     fences = []
-    for k, x in enumerate(finite.values()):
-        q = made[f"s{k}"]["q"]
+    for c, x in finite.items():
+        q = cuts[c]
         iqr = q[2] - q[0] if q else 0
         fences.append(F.count_if((x < q[0] - 1.5 * iqr) | (x > q[2] + 1.5 * iqr)) if iqr > 0 else F.max(F.lit(0)))
     outliers = df.agg(*fences).first()
-    rows = [(c, made[f"s{k}"], outliers[k] or 0) for k, c in enumerate(columns)]
+    rows = [(c, made[f"s{k}"], cuts[c], outliers[k] or 0) for k, c in enumerate(columns)]
     inner = first.schema["s0"].dataType.simpleString()
     n = F.col("s.n").cast("double")
-    return df.sparkSession.createDataFrame(rows, f"column string, s {inner}, outliers long").select(
-        "column", F.col("s.n").alias("count"), "s.mean", "s.std", "s.min", F.col("s.q")[0].alias("q1"), F.col("s.q")[1].alias("median"), F.col("s.q")[2].alias("q3"), "s.max",
+    return df.sparkSession.createDataFrame(rows, f"column string, s {inner}, q array<double>, outliers long").select(
+        "column", F.col("s.n").alias("count"), "s.mean", "s.std", "s.min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "s.max",
         skewness(n, F.col("s.g1")).alias("skew"), kurtosis(n, F.col("s.g2")).alias("kurtosis"), "s.zeros", "s.negatives", "s.infinities", "outliers",
     )
 
 
+def histograms_of(df: DataFrame, columns: list[str], bins: int = 20) -> dict[str, list[tuple[float, float, int]]]:
+    """(low, high, n) of equal-width bins of every column, the last one closed; at most half as many bins as values; a constant has one bin.
+
+    Two jobs for all columns: their ends, then one grouped count of (column, bin).
+    """
+    finite = [F.when(F.abs(number(df, c)) != float("inf"), number(df, c)).alias(f"x{k}") for k, c in enumerate(columns)]
+    picked = df.select(*finite)
+    ends = picked.agg(*[F.struct(F.min(f"x{k}").alias("low"), F.max(f"x{k}").alias("high"), F.count(f"x{k}").alias("n")).alias(f"x{k}") for k in range(len(columns))]).first()
+    edges: list[list[float]] = []
+    for low, high, n in ends:
+        many = 1 if low == high else min(bins, max(n // 2, 1))
+        edges.append([low + (high - low) * j / many for j in range(many)] + [high] if n else [])
+    placed = [F.when(F.col(f"x{k}").isNotNull(), F.struct(F.lit(k).alias("k"), place(f"x{k}", e[1:-1]).alias("bin"))) for k, e in enumerate(edges) if e]
+    counts: dict[tuple[int, int], int] = {}
+    if placed:
+        each = picked.select(F.explode(F.array_compact(F.array(*placed))).alias("p")).groupBy("p.k", "p.bin").agg(F.count(F.lit(1)).alias("n"))
+        counts = {(r["k"], r["bin"]): r["n"] for r in each.collect()}
+    return {c: [(edges[k][j], edges[k][j + 1], counts.get((k, j), 0)) for j in range(len(edges[k]) - 1)] for k, c in enumerate(columns)}
+
+
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """(bin, low, high, n) of equal-width bins, the last one closed; at most half as many bins as values; a constant has one bin."""
-    x = F.when(F.abs(number(df, column)) != float("inf"), number(df, column))
-    low, high, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
-    if not n:
-        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
-    bins = 1 if low == high else min(bins, max(n // 2, 1))
-    edges = [low + (high - low) * k / bins for k in range(bins)] + [high]
-    place = F.lit(0)
-    for e in edges[1:-1]:
-        place = place + (x >= F.lit(e)).cast("int")
-    counted = df.filter(x.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = df.sparkSession.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(bins)], "bin int, low double, high double")
-    return frame.join(counted, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+    """(bin, low, high, n) of one column's ``histograms_of``."""
+    rows = [(k, *r) for k, r in enumerate(histograms_of(df, [column], bins)[column])]
+    return df.sparkSession.createDataFrame(rows, "bin int, low double, high double, n long")
 
 
 def ecdf(df: DataFrame, column: str, points: int = 200) -> DataFrame:
@@ -116,18 +126,31 @@ def top_levels(df: DataFrame, column: str, top: int = 20) -> DataFrame:
     return level_counts(df, column).orderBy(F.desc("n"), "value").limit(top)
 
 
+def _levels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, value, n): the present texts of all columns, counted in one grouped job; k is the column's number."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), text(df, c).alias("value")) for k, c in enumerate(columns)])
+    return df.select(F.explode(pairs).alias("p")).filter("p.value is not null").groupBy("p.k", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def categorical_summary(df: DataFrame, columns: list[str], rare: float = 0.01) -> DataFrame:
     """One row per column: count, distinct, rare (levels with a share under ``rare``), imbalance (largest share), entropy (base 2)."""
-    parts = None
-    for c in columns:
-        counted = level_counts(df, c)
-        total = counted.agg(F.sum("n").alias("total"))
-        p = F.col("n") / F.col("total")
-        one = counted.crossJoin(F.broadcast(total)).agg(  # ``total`` is one row
-            F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count(F.lit(1)).alias("distinct"), F.count_if(p < rare).alias("rare"), F.max(p).alias("imbalance"), F.coalesce(-F.sum(p * F.log2(p)), F.lit(0.0)).alias("entropy")
-        ).select(F.lit(c).alias("column"), "*")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    counted = _levels(df, columns)
+    totals = counted.groupBy("k").agg(F.sum("n").alias("total"))
+    p = F.col("n") / F.col("total")
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, column string")
+    # ``totals`` and ``names`` have one row a column.
+    one = counted.join(F.broadcast(totals), "k").groupBy("k").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("distinct"), F.count_if(p < rare).alias("rare"), F.max(p).alias("imbalance"), (-F.sum(p * F.log2(p))).alias("entropy"))
+    zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
+    return names.join(one, "k", "left").select("column", zero("count", "long"), zero("distinct", "long"), zero("rare", "long"), "imbalance", zero("entropy", "double"))
+
+
+def top_levels_of(df: DataFrame, columns: list[str], top: int = 20) -> dict[str, list[tuple[str, int]]]:
+    """``top_levels`` of every column in one job."""
+    first = _levels(df, columns).withColumn("at", F.row_number().over(W.partitionBy("k").orderBy(F.desc("n"), "value"))).filter(F.col("at") <= top)
+    found: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in first.orderBy("k", "at").collect():
+        found[columns[r["k"]]].append((r["value"], r["n"]))
+    return found
 
 
 # Names of steps up to so many seconds.
@@ -156,7 +179,8 @@ def datetime_summary(df: DataFrame, column: str) -> DataFrame:
     t = cell(df, column).time
     base = df.agg(F.count(t).alias("count"), F.min(t).alias("min"), F.max(t).alias("max"), (F.count(t) - F.countDistinct(t)).alias("duplicates"))
     gaps = _gaps(df, column)
-    middle = gaps.agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap"))
+    half = quantiles(gaps, {"gap": F.when(F.col("gap") > 0, F.col("gap"))}, [0.5])["gap"]
+    middle = df.sparkSession.createDataFrame([(half[0] if half else None,)], "median_gap double")
     wide = gaps.crossJoin(F.broadcast(middle)).agg(F.count_if(F.col("gap") > 3 * F.col("median_gap")).alias("gaps"))  # one row
     days = (F.unix_micros("max") - F.unix_micros("min")) / 86_400e6
     return base.crossJoin(middle).crossJoin(wide).select(F.lit(column).alias("column"), "count", "min", "max", days.alias("span_days"), "median_gap", frequency(F.col("median_gap")).alias("frequency"), "duplicates", "gaps")
@@ -274,7 +298,7 @@ def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetPr
         found[c] = ColumnProfile(c, kind, rows, one["missing"], one["distinct"], {f: one[f] for f in forms if one[f]})
     of = lambda *kinds: [c for c in names if found[c].kind in kinds]
     if of("numeric"):
-        for r in numeric_summary(df, of("numeric"), rows).collect():
+        for r in numeric_summary(df, of("numeric")).collect():
             found[r["column"]].summary = {k: v for k, v in r.asDict().items() if k != "column"}
     if of("text"):
         for r in text_summary(df, of("text")).collect():
@@ -282,15 +306,15 @@ def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetPr
     if named := of("categorical", "ordinal", "boolean"):
         for r in categorical_summary(df, named).collect():
             found[r["column"]].summary = {k: v for k, v in r.asDict().items() if k != "column"}
-        for c in named:
-            found[c].top = [(r["value"], r["n"]) for r in top_levels(df, c, top).collect()]
+        for c, levels in top_levels_of(df, named, top).items():
+            found[c].top = levels
     for c in of("datetime"):
         found[c].summary = {k: v for k, v in datetime_summary(df, c).first().asDict().items() if k != "column"}
     for c in of("boolean"):
         found[c].summary["rate_true"] = dict(found[c].top).get("true", 0) / max(1, found[c].present)
-    if histograms:
-        for c in of("numeric"):
-            found[c].bins = [(r["low"], r["high"], r["n"]) for r in histogram(df, c).orderBy("bin").collect()]
+    if histograms and of("numeric"):
+        for c, made in histograms_of(df, of("numeric")).items():
+            found[c].bins = made
     return DatasetProfile(rows, found, duplicate_rows(df))
 
 

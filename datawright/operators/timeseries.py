@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.cells import cell, text
 from ..sources.frames import ROW
+from .ordering import quantiles
 
 # Named steps in seconds, longest first.
 STEPS = (("yearly", 365 * 86_400), ("quarterly", 91 * 86_400), ("monthly", 30 * 86_400), ("weekly", 7 * 86_400), ("daily", 86_400), ("hourly", 3_600), ("minutely", 60), ("secondly", 1))
@@ -31,7 +32,8 @@ def _steps(df: DataFrame, time: str) -> DataFrame:
 def cadence(df: DataFrame, time: str) -> DataFrame:
     """(median_gap, cadence, step, agreement): the longest named step of which the median gap is at least three quarters; the share of gaps within a quarter of it."""
     gaps = _steps(df, time)
-    middle = gaps.agg(F.median("gap").alias("median_gap"))
+    half = quantiles(gaps, {"gap": F.col("gap")}, [0.5])["gap"]
+    middle = df.sparkSession.createDataFrame([(half[0] if half else None,)], "median_gap double")
     named = step = F.lit(None)
     for name, seconds in reversed(STEPS):
         fits = F.col("median_gap") >= 0.75 * seconds

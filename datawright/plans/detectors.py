@@ -215,12 +215,13 @@ class SentinelCandidate(Detector):
         held = [x for x in self._columns(df) if v[f"n:{x}"] >= 30 and any(v[f"{s}:{x}"] >= 2 for s in SENTINELS)]
         if not held:
             return []
-        row = df.agg(*[e for x in held for e in (quantiles(self._clean(df, x), [0.25, 0.75, 0.999], v[f"n:{x}"]), F.min(self._clean(df, x)))]).first()
+        row = df.agg(*[F.min(self._clean(df, x)) for x in held]).first()
+        cuts = quantiles(df, {x: self._clean(df, x) for x in held}, [0.25, 0.75, 0.999])
         found = []
-        for k, x in enumerate(held):
-            if not row[2 * k]:
+        for x, low in zip(held, row, strict=True):
+            if not cuts[x]:
                 continue
-            (q1, q3, top), low = row[2 * k], row[2 * k + 1]
+            q1, q3, top = cuts[x]
             codes = {s: v[f"{s}:{x}"] for s in SENTINELS if v[f"{s}:{x}"] >= 2 and (q3 > q1 and s > top + 10 * (q3 - q1) or s < 0 <= low)}
             if codes:
                 found.append(Issue(f"SENTINEL-{x}", "sentinel_candidate", S.HIGH_WARNING, (x,), 0.97, sum(codes.values()), (Treatment("treat_as_missing", 0.55), Treatment("keep_and_flag", 0.50)), details={"codes": codes}, rows=lambda d, x=x, codes=codes: number(d, x).isin(*[float(s) for s in codes])))

@@ -338,9 +338,11 @@ def _(t):  # noqa: ANN001, ANN202
     return timeseries.out_of_order(t("events"), "ts", "event_id", block=1_000)
 
 
-@query("ts_missing_periods", "WITH d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS d FROM events WHERE user_id % 5 = 0 AND event_id % 7 = 0), g AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS period FROM d) SELECT period FROM g WHERE period NOT IN (SELECT d FROM d)")
+@query("ts_missing_periods", "WITH d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP + to_days((date_diff('day', DATE '1970-01-01', ts::DATE) // 3)::INT) AS d FROM events), g AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS period FROM d) SELECT period FROM g WHERE period NOT IN (SELECT d FROM d)")
 def _(t):  # noqa: ANN001, ANN202
-    d = t("events").filter("user_id % 5 = 0 AND event_id % 7 = 0").select(F.date_trunc("day", "ts").alias("d"))
+    # After each third day a day is left out: gaps without dropping events.
+    day = F.to_date("ts")
+    d = t("events").select(F.date_add(day, F.floor(F.unix_date(day) / 3).cast("int")).cast("timestamp").alias("d"))
     return timeseries.missing_periods(d, "d", 86_400)
 
 
@@ -386,11 +388,11 @@ def _(t):  # noqa: ANN001, ANN202
 
 @query(
     "linkage_pairs",
-    "WITH p AS (SELECT p_partkey AS id, p_brand || p_size AS b, p_brand AS f, p_retailprice AS x, p_type AS y FROM part WHERE p_partkey % 4 = 0), s AS (SELECT l.id AS \"left\", r.id AS \"right\", 1 - abs(l.x - r.x) / greatest(abs(l.x), abs(r.x), 1) AS a, CASE WHEN lower(l.y) = lower(r.y) THEN 1.0 ELSE 0.0 END::DOUBLE AS c FROM p l JOIN p r ON lower(l.b) = lower(r.b) AND l.id < r.id) "
+    "WITH p AS (SELECT p_partkey AS id, p_brand || p_size AS b, p_brand AS f, p_retailprice AS x, p_type AS y FROM part), s AS (SELECT l.id AS \"left\", r.id AS \"right\", 1 - abs(l.x - r.x) / greatest(abs(l.x), abs(r.x), 1) AS a, CASE WHEN lower(l.y) = lower(r.y) THEN 1.0 ELSE 0.0 END::DOUBLE AS c FROM p l JOIN p r ON lower(l.b) = lower(r.b) AND l.id < r.id) "
     "SELECT \"left\", \"right\", round((a + c) / 2, 6) AS score, round(a, 6) AS score_p_retailprice, round(c, 6) AS score_p_type FROM s WHERE (a + c) / 2 >= 0.7 ORDER BY (a + c) / 2 DESC, 1, 2 LIMIT 500",
 )
 def _(t):  # noqa: ANN001, ANN202
-    d = t("part").filter("p_partkey % 4 = 0").withColumn("b", F.concat("p_brand", F.col("p_size").cast("string")))
+    d = t("part").withColumn("b", F.concat("p_brand", F.col("p_size").cast("string")))
     return r6(linkage.link(d, ["p_retailprice", "p_type"], "b", 64, key="p_partkey", unicode=False))
 
 
@@ -576,30 +578,42 @@ def _(t):  # noqa: ANN001, ANN202
 
 # Cells --------------------------------------------------------------------------------------------------
 
-_FIXTURE = "('1'), ('1,200.50'), ('12f'), (' 7 '), ('1e5'), ('1_000'), ('abc'), ('nan'), ('-3.5'), ('2024-01-05'), ('05/01/2024'), ('13/01/2024'), ('01/13/2024'), ('31.12.2023'), ('30/02/2024'), ('07-07-2025'), ('')"
+# Texts in the forms that cells take, made of every order's own key, price and date.
+_FORMS = """SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN cast(cast(o_orderkey AS BIGINT) AS {str})
+  WHEN 1 THEN concat(cast(o_orderkey AS {str}), ',', lpad(cast(o_orderkey % 1000 AS {str}), 3, '0'), '.50') WHEN 2 THEN concat(cast(o_orderkey AS {str}), 'f') WHEN 3 THEN concat(' ', cast(o_orderkey AS {str}), ' ')
+  WHEN 4 THEN concat(cast(o_orderkey % 100 AS {str}), 'e', cast(o_orderkey % 7 AS {str})) WHEN 5 THEN concat('1_', cast(o_orderkey AS {str})) WHEN 6 THEN o_orderpriority WHEN 7 THEN 'nan' WHEN 8 THEN concat('-', cast(o_orderkey AS {str}), '.25')
+  WHEN 9 THEN concat({y}, '-', {m}, '-', {d}) WHEN 10 THEN concat({d}, '/', {m}, '/', {y}) ELSE concat({m}, '.', {d}, '.', {y}) END AS s FROM {orders}"""
+
+
+def _parts(kind: str, orders: str) -> str:
+    part = lambda p: f"lpad(cast({p}(o_orderdate) AS {kind}), {4 if p == 'year' else 2}, '0')"
+    return _FORMS.format(str=kind, orders=orders, y=part("year"), m=part("month"), d=part("day"))
+
+
+_FIXTURE = f"({_parts('VARCHAR', 'orders')})"
 
 
 def _texts(t: Callable[[str], DataFrame]) -> DataFrame:
-    return t("region").sparkSession.sql(f"SELECT s FROM VALUES {_FIXTURE} AS v(s)")
+    return t("orders").sparkSession.sql(_parts("STRING", "{orders}"), orders=t("orders"))
 
 
-@query("cells_numbers", f"SELECT s, CASE WHEN regexp_matches(trim(replace(s, ',', '')), '(?i)^[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?)$') THEN try_cast(trim(replace(s, ',', '')) AS DOUBLE) END AS x FROM (VALUES {_FIXTURE}) AS v(s)")
+@query("cells_numbers", f"SELECT o_orderkey, s, CASE WHEN regexp_matches(trim(replace(s, ',', '')), '(?i)^[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?)$') THEN try_cast(trim(replace(s, ',', '')) AS DOUBLE) END AS x FROM {_FIXTURE}")
 def _(t):  # noqa: ANN001, ANN202
-    return _texts(t).select("s", cells.text_number(F.col("s")).alias("x"))
+    return _texts(t).select("o_orderkey", "s", cells.text_number(F.col("s")).alias("x"))
 
 
-@query("cells_forms", f"SELECT CASE WHEN regexp_matches(trim(s), '(?i)^[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?|nan)$') THEN 'numeric-string' WHEN regexp_matches(trim(s), '^[+-]?[\\d,]+(\\.\\d+)?$') THEN 'formatted-numeric-string' ELSE 'string' END AS form, count(*) AS n FROM (VALUES {_FIXTURE}) AS v(s) GROUP BY 1")
+@query("cells_forms", f"SELECT CASE WHEN regexp_matches(trim(s), '(?i)^[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?|nan)$') THEN 'numeric-string' WHEN regexp_matches(trim(s), '^[+-]?[\\d,]+(\\.\\d+)?$') THEN 'formatted-numeric-string' ELSE 'string' END AS form, count(*) AS n FROM {_FIXTURE} GROUP BY 1")
 def _(t):  # noqa: ANN001, ANN202
     return _texts(t).groupBy(cells.text_form(F.col("s")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "cells_dates",
-    f"WITH d AS (SELECT s, list_filter([try_strptime(s, '%Y-%m-%d')], lambda x: x IS NOT NULL) AS i, list_filter([try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%d-%m-%Y'), try_strptime(s, '%d.%m.%Y')], lambda x: x IS NOT NULL) AS a, list_filter([try_strptime(s, '%m/%d/%Y'), try_strptime(s, '%m-%d-%Y'), try_strptime(s, '%m.%d.%Y')], lambda x: x IS NOT NULL) AS b FROM (VALUES {_FIXTURE}) AS v(s)) "
-    "SELECT s, CASE WHEN len(i) + len(a) + len(b) = 0 THEN 'invalid' WHEN len(b) > 0 AND len(a) = 0 THEN 'format_conflict' WHEN len(list_distinct(list_concat(i, a, b))) = 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM d",
+    f"WITH d AS (SELECT o_orderkey, s, list_filter([try_strptime(s, '%Y-%m-%d')], lambda x: x IS NOT NULL) AS i, list_filter([try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%d-%m-%Y'), try_strptime(s, '%d.%m.%Y')], lambda x: x IS NOT NULL) AS a, list_filter([try_strptime(s, '%m/%d/%Y'), try_strptime(s, '%m-%d-%Y'), try_strptime(s, '%m.%d.%Y')], lambda x: x IS NOT NULL) AS b FROM {_FIXTURE}) "
+    "SELECT o_orderkey, s, CASE WHEN len(i) + len(a) + len(b) = 0 THEN 'invalid' WHEN len(b) > 0 AND len(a) = 0 THEN 'format_conflict' WHEN len(list_distinct(list_concat(i, a, b))) = 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM d",
 )
 def _(t):  # noqa: ANN001, ANN202
-    return _texts(t).select("s", cells.date_status(cells.date_readings(F.col("s")), F.lit("day_first")).alias("status"))
+    return _texts(t).select("o_orderkey", "s", cells.date_status(cells.date_readings(F.col("s")), F.lit("day_first")).alias("status"))
 
 
 @query("cells_non_ascii", "SELECT lang, count(*) FILTER (regexp_matches(text, '[^\\x00-\\x7F]')) AS n FROM documents GROUP BY lang")
@@ -607,9 +621,9 @@ def _(t):  # noqa: ANN001, ANN202
     return t("documents").groupBy("lang").agg(F.count_if(F.size(cells.non_ascii(F.col("text"))) > 0).alias("n"))
 
 
-@query("cells_confusables", "SELECT doc_id, replace(replace(text, '’', ''''), '–', '-') AS text FROM documents WHERE doc_id < 50")
+@query("cells_confusables", "SELECT doc_id, replace(replace(text, '’', ''''), '–', '-') AS text FROM documents")
 def _(t):  # noqa: ANN001, ANN202
-    return t("documents").filter("doc_id < 50").select("doc_id", cells.unconfused(F.col("text")).alias("text"))
+    return t("documents").select("doc_id", cells.unconfused(F.col("text")).alias("text"))
 
 
 # Detector predicates on the shared tables ---------------------------------------------------------------
@@ -638,15 +652,22 @@ def _(t):  # noqa: ANN001, ANN202
     return d.agg(*[e.alias(n) for n, e in REGISTRY["state_consistency"].requests(d, Context(paid="F", partial="P", pending="O")).items()])
 
 
-_PLACES = "('Algeria', 'Oran', 'DZD'), ('algerie ', 'Paris', 'EUR'), ('Maroc', 'Fez', 'MAD'), ('France', 'Lyon', 'USD'), ('Tunisia', 'Atlantis', 'TND'), ('Egypt', NULL, 'EGP')"
+# Places of customers, one of ten by the key: country, city, conflict, unknown.
+_PLACES = [("Algeria", "Oran", "false", "false"), ("algerie ", "Paris", "true", "false"), ("Maroc", "Fez", "false", "false"), ("France", "Lyon", "false", "false"), ("Tunisia", "Atlantis", "false", "true"), ("Egypt", None, "false", "false"), ("ALGERIA", "oran", "false", "false"), ("France", "Fez", "true", "false"), ("Tunisia", "Lyon", "true", "false"), ("Morocco", "Nowhere", "false", "true")]
+
+
+def _pick(k: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {'NULL' if p[k] is None else p[k] if k > 1 else repr(p[k])}" for i, p in enumerate(_PLACES))
+    return f"CASE c_custkey % 10 {cases} END"
 
 
-@query("detect_geography", "SELECT * FROM (VALUES ('Algeria', 'Oran', false, false), ('algerie ', 'Paris', true, false), ('Maroc', 'Fez', false, false), ('France', 'Lyon', false, false), ('Tunisia', 'Atlantis', false, true), ('Egypt', NULL, false, false)) AS v(country, city, conflict, \"unknown\")")
+@query("detect_geography", f"SELECT {_pick(0)} AS country, {_pick(1)} AS city, {_pick(2)} AS conflict, {_pick(3)} AS \"unknown\", count(*) AS n FROM customer GROUP BY ALL")
 def _(t):  # noqa: ANN001, ANN202
     from .plans.detectors import REGISTRY, Context
 
-    d = t("region").sparkSession.sql(f"SELECT country, city, currency FROM VALUES {_PLACES} AS v(country, city, currency)")
-    return REGISTRY["geographic_consistency"].resolved(d, Context()).select("country", "city", "conflict", "unknown")
+    d = t("customer").select(F.expr(_pick(0)).alias("country"), F.expr(_pick(1)).alias("city"), F.lit("EUR").alias("currency"))
+    found = REGISTRY["geographic_consistency"].resolved(d, Context()).select("country", "city", "conflict", "unknown")
+    return d.groupBy("country", "city").agg(F.count(F.lit(1)).alias("n")).join(found.distinct(), [d["country"].eqNullSafe(found["country"]), d["city"].eqNullSafe(found["city"])]).select(d["country"], d["city"], "conflict", "unknown", "n")
 
 
 # Filters and charts -------------------------------------------------------------------------------------
