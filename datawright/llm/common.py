@@ -73,11 +73,26 @@ _written: dict[str | None, list[str]] = {}
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor loses nothing."""
+def _narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in a copy of its session that hands at most ``rows`` rows or 16 MB to Python at a time; the session itself stays as it is."""
+    spark = df.sparkSession
+    try:
+        own = spark._jsparkSession.cloneSession()
+        own.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        own.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().analyzed()), type(spark)(spark.sparkContext, own))
+    except (AttributeError, TypeError):  # another kind of session
+        return df
+
+
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor loses nothing.
+
+    ``batch_rows`` bounds the Arrow batches of wide rows while it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/datawright-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (_narrow(df, batch_rows) if batch_rows else df).write.parquet(path)
     _written.setdefault(_scope.get(), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
