@@ -6,6 +6,8 @@ Values are counted first; bounded split points cut them into ordered buckets, bu
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections.abc import Mapping
 
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SPLITS = 64
-#: Values that are gathered to read order statistics off, and the accuracy of the sketches that narrow them down.
-GATHERED, ACCURACY = 100_000, 10_000
+#: Values of a sample, and about as many that are gathered to read order statistics off.
+SAMPLED, GATHERED = 40_000, 50_000
 
 
 def place(name: str, edges: list) -> Column:
@@ -57,42 +59,83 @@ def _interpolated(low: float, high: float, share: float) -> float:
 def quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: list[float]) -> dict[str, list[float] | None]:
     """Exact linearly interpolated quantiles of numeric expressions, nulls left out; None for one without values.
 
-    A sketch of all columns brackets each order statistic; each further pass narrows the brackets by the sketch's accuracy until about
-    ``GATHERED`` values lie inside, and a last one reads the order statistics off. Up to 10^8 rows that is two passes, whatever the
-    number of columns; no task holds more than the values inside.
+    A bounded random sample of all columns brackets each order statistic; each further pass samples inside the brackets, until about
+    ``GATHERED`` values lie inside. A last grouped count has one row for each stretch between brackets and one for each distinct value inside: from these the order
+    statistics are read off, so they are exact whatever the sample; if one lies outside its bracket, it is looked for anew. Up to 10^6 rows one sample is
+    enough, whatever the number of columns; each further one divides the rows by about 20.
     """
-    names, step = list(columns), 2.0 / ACCURACY
+    missed = dict.fromkeys(columns, probabilities)
+    found: dict[str, dict[float, float] | None] = {c: {} for c in columns}
+    while missed:
+        for c, at in _bracketed(df, {c: columns[c] for c in missed}, probabilities).items():
+            found[c] = None if at is None else found[c] | at
+        missed = {c: probabilities for c in missed if found[c] is not None and any(p not in found[c] for p in probabilities)}
+    return {c: None if at is None else [at[p] for p in probabilities] for c, at in found.items()}
+
+
+def _bracketed(df: DataFrame, columns: Mapping[str, Column], probabilities: list[float]) -> dict[str, dict[float, float] | None]:
+    """One attempt of ``quantiles``: those that lie inside their brackets."""
+    names = list(columns)
     picked = df.select(*[columns[c].cast("double").alias(f"q{k}") for k, c in enumerate(names)])
     ends = picked.agg(*[F.struct(F.count(f"q{k}").alias("n"), F.min(f"q{k}").alias("lo"), F.max(f"q{k}").alias("hi")).alias(f"q{k}") for k in range(len(names))]).first()
+    each = picked.select(F.posexplode(F.array(*picked.columns)).alias("k", "x")).filter("x is not null")
     # (column, probability): bracket, and about how many values lie inside.
     brackets = {(k, p): (ends[k]["lo"], ends[k]["hi"], ends[k]["n"]) for k in range(len(names)) for p in probabilities if ends[k]["n"]}
     inside = lambda k, a, b: F.when((F.col(f"q{k}") > a) & (F.col(f"q{k}") < b), F.col(f"q{k}"))
-    while wide := {at: v for at, v in brackets.items() if v[2] > GATHERED and v[0] < v[1]}:
-        made = picked.agg(*[F.struct(F.count_if(F.col(f"q{k}") <= a).alias("before"), F.count(inside(k, a, b)).alias("m")).alias(f"s{i}") for i, ((k, _), (a, b, _)) in enumerate(wide.items())]).first()
+    while True:
+        wide: dict[tuple[int, float, float], list[float]] = {}
+        for (k, p), (a, b, many) in brackets.items():
+            if many > GATHERED and a < b:
+                wide.setdefault((k, a, b), []).append(p)
+        if not wide:
+            break
+        # The first brackets, from end to end, hold all but the ends themselves.
+        first = all(a == ends[k]["lo"] and b == ends[k]["hi"] for k, a, b in wide)
+        seen = [(0, ends[k]["n"]) for k, _, _ in wide] if first else [tuple(r) for r in picked.agg(*[F.struct(F.count_if(F.col(f"q{k}") <= a), F.count(inside(k, a, b))) for k, a, b in wide]).first()]
+        rates = [(j, k, float("-inf") if first else a, float("inf") if first else b, SAMPLED / max(1, m)) for j, ((_, m), (k, a, b)) in enumerate(zip(seen, wide, strict=True))]
+        drawn: dict[int, list[float]] = {}
+        # One row a bracket on the right; about SAMPLED values a bracket come back.
+        met = each.join(F.broadcast(df.sparkSession.createDataFrame(rates, "j int, k int, a double, b double, rate double")), "k").filter((F.col("x") > F.col("a")) & (F.col("x") < F.col("b")) & (F.rand() < F.col("rate")))
+        for r in met.groupBy("j").agg(F.sort_array(F.collect_list("x")).alias("xs")).toArrow().to_pylist():
+            drawn[r["j"]] = r["xs"]
+        for j, ((before, m), ((k, a, b), ps)) in enumerate(zip(seen, wide.items(), strict=True)):
+            sample = drawn.get(j, [])
+            for p in ps:
+                share = min(1.0, max(0.0, ((ends[k]["n"] - 1) * p - before) / max(1, m)))
+                margin = 5 * math.sqrt(len(sample) * share * (1 - share)) + 5
+                lo, hi = math.floor(share * len(sample) - margin), math.ceil(share * len(sample) + margin)
+                low, high = sample[lo] if lo >= 0 else a, sample[hi] if hi < len(sample) else b
+                brackets[k, p] = (low, high, min(m - 1, int(m * 2 * margin / max(1, len(sample)))))
+    edges = {k: sorted({e for (j, _), (a, b, _) in brackets.items() if j == k for e in (a, b)}) for k in range(len(names)) if ends[k]["n"]}
+    counts: dict[int, list[tuple[int, float | None, int]]] = {k: [] for k in edges}
+    if edges:
+        most = max(map(len, edges.values()))
         cuts = []
-        for one, ((k, p), (a, b, _)) in zip(made, wide.items(), strict=True):
-            at = min(1.0, max(0.0, ((ends[k]["n"] - 1) * p - one["before"]) / max(1, one["m"])))
-            cuts.append(F.percentile_approx(inside(k, a, b), [max(0.0, at - step), min(1.0, at + step)], ACCURACY))
-        for one, cut, (at, (a, b, _)) in zip(made, picked.agg(*cuts).first(), wide.items(), strict=True):
-            rank = (ends[at[0]]["n"] - 1) * at[1] - one["before"]
-            # The bracket's own ends stay where the sketch's first or last value may not hold the order statistic.
-            low = a if cut is None or rank <= 3 * step * one["m"] else cut[0]
-            high = b if cut is None or rank >= (1 - 3 * step) * one["m"] - 1 else cut[1]
-            brackets[at] = (low, high, min(one["m"] - 1, int(8 * step * one["m"])) if one["m"] else 0)
-    last = []
-    for (k, p), (a, b, _) in brackets.items():
-        x, h = F.col(f"q{k}"), (ends[k]["n"] - 1) * p
-        before, equal, many = F.count_if(x < a), F.count_if(x == a), F.count(inside(k, a, b))
-        held = F.sort_array(F.collect_list(inside(k, a, b)))
-        rank = lambda r: F.when(F.lit(r) < before, None).when(F.lit(r) < before + equal, F.lit(a)).when(F.lit(r) < before + equal + many, F.get(held, (F.lit(r) - before - equal).cast("int"))).when(F.lit(r) < before + equal + many + F.count_if(x == b), F.lit(b))
-        last.append(F.struct(rank(math.floor(h)).alias("low"), rank(math.ceil(h)).alias("high")))
-    found: dict[str, list[float] | None] = {c: None if not ends[k]["n"] else [] for k, c in enumerate(names)}
-    if last:
-        for ((k, p), _), one in zip(brackets.items(), picked.agg(*last).first(), strict=True):
-            low, high, h = one["low"], one["high"], (ends[k]["n"] - 1) * p
-            if low is None or high is None:  # beyond the sketch's stated error: the plain aggregate
-                low = high = picked.agg(F.percentile(f"q{k}", p)).first()[0]
-            found[names[k]].append(_interpolated(low, high, h - math.floor(h)))
+        for k, e in edges.items():
+            inner = {j for (i, _), (a, b, _) in brackets.items() if i == k for j in range(e.index(a) + 1, e.index(b) + 1)}
+            cuts.append((k, e + [float("nan")] * (most - len(e)), [j in inner for j in range(most + 1)]))
+        met = each.join(F.broadcast(df.sparkSession.createDataFrame(cuts, "k int, edges array<double>, open array<boolean>")), "k")  # one row a column
+        # Even codes are stretches between edges, odd ones the edges themselves.
+        code = F.lit(0)
+        for j in range(most):
+            code = code + (F.col("x") >= F.col("edges")[j]).cast("int") + (F.col("x") > F.col("edges")[j]).cast("int")
+        met = met.select("k", "x", "open", code.alias("code"))
+        value = F.when((F.col("code") % 2 == 0) & F.get("open", F.floor(F.col("code") / 2).cast("int")), F.col("x"))
+        grouped = met.select("k", "code", value.alias("x")).groupBy("k", "code", "x").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        for k, *row in zip(*(grouped.column(c).to_pylist() for c in ("k", "code", "x", "n")), strict=True):
+            counts[k].append(tuple(row))
+    found: dict[str, dict[float, float] | None] = {c: {} if ends[k]["n"] else None for k, c in enumerate(names)}
+    for k, rows in counts.items():
+        rows.sort(key=lambda r: (r[0], r[1] or 0.0))
+        upto = list(itertools.accumulate(r[2] for r in rows))
+        for p in probabilities:
+            h = (ends[k]["n"] - 1) * p
+            values = []
+            for rank in (math.floor(h), math.ceil(h)):
+                code, x, _ = rows[bisect.bisect_right(upto, rank)]
+                values.append(edges[k][code // 2] if code % 2 else x)
+            if None not in values:
+                found[names[k]][p] = _interpolated(*values, h - math.floor(h))
     return found
 
 

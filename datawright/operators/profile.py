@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.cells import MIXED, UNSUPPORTED, Cell, cell, number, text
+from ..functions.cells import MIXED, UNSUPPORTED, cell, number, text
 from ..sources.frames import ROW
 from .ordering import cumulative, place, quantiles
 
@@ -221,6 +221,28 @@ def ordinal(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     return df.withMetadata(column, {**df.schema[column].metadata, "levels": list(levels)})
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct present values of every column, exactly, in one job: pairs of (column, value) are aggregated before they are shuffled.
+
+    Values of up to eight bytes go by their 64-bit hash, which is one to one on them; others by their text.
+    """
+    short = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    pairs = []
+    for k, c in enumerate(columns):
+        x, kind = cell(df, c), df.schema[c].dataType
+        if isinstance(kind, short):
+            value = x.number if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
+            number_, text_ = F.xxhash64(value), F.lit(None).cast("string")
+        else:
+            number_, text_ = F.lit(None).cast("long"), x.text
+        pairs.append(F.when(~x.missing, F.struct(F.lit(k).alias("k"), number_.alias("h"), text_.alias("s"))))
+    each = df.select(F.explode(F.array(*pairs)).alias("p")).filter("p is not null").groupBy("p.k", "p.h", "p.s").agg(F.lit(1).alias("one"))
+    # A present cell without a text (a nested null) is no value.
+    counted = each.filter("h is not null or s is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    found = {columns[r["k"]]: r["n"] for r in counted.collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
 @dataclass
 class ColumnProfile:
     name: str
@@ -281,18 +303,14 @@ def profile(df: DataFrame, top: int = 20, histograms: bool = False) -> DatasetPr
     names = [c for c in df.columns if c != ROW]
     cells = {c: cell(df, c) for c in names}
 
-    def distinct(d: DataFrame, c: str, x: Cell) -> Column:
-        # Of a typed column distinct values are distinct texts, and cheaper.
-        value = x.text if isinstance(d.schema[c].dataType, (T.StringType, T.StructType, T.ArrayType, T.MapType, T.VariantType, T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
-        return F.countDistinct(value)
-
     forms = ["int", "float", "numeric-string", "formatted-numeric-string", "bool", "datetime", "date", "string"]
     first = df.agg(
-        *[F.struct(F.count_if(x.missing).alias("missing"), distinct(df, c, x).alias("distinct"), F.count(x.number).alias("parsed"), *[F.count_if(x.form == f).alias(f) for f in forms]).alias(f"c{k}") for k, (c, x) in enumerate(cells.items())],
+        *[F.struct(F.count_if(x.missing).alias("missing"), F.count(x.number).alias("parsed"), *[F.count_if(x.form == f).alias(f) for f in forms]).alias(f"c{k}") for k, (c, x) in enumerate(cells.items())],
     ).first()
+    different = distinct_counts(df, names)
     found: dict[str, ColumnProfile] = {}
     for k, c in enumerate(names):
-        one = first[f"c{k}"].asDict()
+        one = first[f"c{k}"].asDict() | {"distinct": different[c]}
         present = rows - one["missing"]
         kind = classify(df, c, present, one["distinct"], one["datetime"] + one["date"], one["parsed"], one["bool"])
         found[c] = ColumnProfile(c, kind, rows, one["missing"], one["distinct"], {f: one[f] for f in forms if one[f]})

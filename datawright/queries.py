@@ -754,7 +754,12 @@ def _(t):  # noqa: ANN001, ANN202
     return d.sparkSession.createDataFrame([(a.column, a.kind, a.method) for a in preprocess.recommend(d)], "column string, kind string, method string")
 
 
-@query("scan_lineitem")
+@query(
+    "scan_lineitem",
+    "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS d FROM lineitem GROUP BY 1 HAVING count(*) > 1) "
+    "SELECT * FROM (SELECT 'DUP-CONFLICT-l_orderkey' AS finding, 'BLOCKING' AS severity, 'DO_NOT_TOUCH' AS repair_class, sum(n) FILTER (d > 1)::BIGINT AS rows FROM g UNION ALL SELECT 'RANGE-l_discount', 'CRITICAL_REVIEW', 'USER_CONFIRMATION_REQUIRED', count(*) FILTER (l_discount < 0 OR l_discount > 0.05) FROM lineitem "
+    "UNION ALL SELECT 'RANGE-l_quantity', 'CRITICAL_REVIEW', 'USER_CONFIRMATION_REQUIRED', count(*) FILTER (l_quantity < 1 OR l_quantity > 45) FROM lineitem) WHERE rows > 0",
+)
 def _(t):  # noqa: ANN001, ANN202
     from .plans.detectors import Range
     from .plans.scan import scan
@@ -763,7 +768,7 @@ def _(t):  # noqa: ANN001, ANN202
     return found.data.sparkSession.createDataFrame([(i.id, i.severity.name, i.repair_class.name, i.affected) for i in found.issues], "finding string, severity string, repair_class string, rows long")
 
 
-@query("auto_prepare_orders")
+@query("auto_prepare_orders", "SELECT 'CAT-o_orderpriority' AS finding, 'canonicalise_mechanical' AS operation, true AS applied, count(*) AS cells FROM orders WHERE o_orderkey % 9 = 0 AND lower(o_orderpriority) <> o_orderpriority")
 def _(t):  # noqa: ANN001, ANN202
     from .plans.prepare import auto_prepare
 
@@ -772,7 +777,11 @@ def _(t):  # noqa: ANN001, ANN202
     return d.sparkSession.createDataFrame([(r.issue, r.operation, r.applied, r.cells_changed) for r in made.audit.records], "finding string, operation string, applied boolean, cells long")
 
 
-@query("profile_lineitem")
+#: Column: kind, so that the SQL checks both.
+_KINDS = {"l_orderkey": "numeric", "l_partkey": "numeric", "l_suppkey": "numeric", "l_linenumber": "numeric", "l_quantity": "numeric", "l_extendedprice": "numeric", "l_discount": "numeric", "l_tax": "numeric", "l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "datetime"}
+
+
+@query("profile_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(*) AS rows, (count(*) - count({c}))::BIGINT AS missing, count(DISTINCT {c}) AS \"distinct\" FROM lineitem" for c, k in _KINDS.items()))
 def _(t):  # noqa: ANN001, ANN202
     made = profile.profile(t("lineitem"))
     return t("lineitem").sparkSession.createDataFrame([(c.name, c.kind, c.rows, c.missing, c.distinct) for c in made.columns.values()], "column string, kind string, rows long, missing long, distinct long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
+import re
 import sys
 import tempfile
 from dataclasses import dataclass, field
@@ -44,10 +45,13 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None, name: str = RO
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="datawright-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="datawright-"))
     return sc.getCheckpointDir()
 
 
