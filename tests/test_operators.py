@@ -239,3 +239,27 @@ def test_entities():
     assert p.resolve(" alger ", "city") == ("DZ.ALG", "transliteration", 0.97) and p.resolve("nowhere", "city")[1] == "unresolved"
     with pytest.raises(ValueError):
         EntityPack((("A", "city", None, {"exact": ["X"]}), ("B", "city", None, {"exact": ["x"]})))
+
+
+@pytest.mark.parametrize("sampled, gathered", [(20_000, 50_000), (100, 300)])
+def test_quantiles_are_exact_at_every_size(spark, monkeypatch, sampled, gathered):
+    """Few values are read off at once; many are bracketed by samples first, over several passes."""
+    from datawright.operators import ordering
+
+    monkeypatch.setattr(ordering, "SAMPLED", sampled)
+    monkeypatch.setattr(ordering, "GATHERED", gathered)
+    r = np.random.default_rng(3)
+    n = 4_000
+    data = {"plain": r.normal(size=n), "ties": np.where(r.random(n) < 0.4, 0.0, r.lognormal(size=n)), "levels": r.integers(0, 5, n).astype(float), "one": np.full(n, 3.0), "none": np.full(n, np.nan), "holes": np.where(r.random(n) < 0.5, np.nan, r.random(n))}
+    df = spark.createDataFrame([tuple(None if np.isnan(v[k]) else float(v[k]) for v in data.values()) for k in range(n)], ", ".join(f"{c} double" for c in data))
+    shares = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = ordering.quantiles(df, {c: F.col(c) for c in data}, shares)
+    for c, v in data.items():
+        present = v[~np.isnan(v)]
+        assert (got[c] is None) == (not len(present))
+        assert not len(present) or np.allclose(got[c], np.quantile(present, shares), rtol=1e-12)
+
+
+def test_distinct_values_of_all_kinds_are_counted(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 0.0D, 'a', true, DATE '2024-01-01', array(1)), (2, -0.0D, 'A', true, DATE '2024-01-02', array(1)), (2, double('nan'), NULL, NULL, NULL, NULL), (NULL, 1.5D, '', false, DATE '2024-01-01', array(2)) AS t(i, d, s, b, day, list)")
+    assert profile.distinct_counts(df, df.columns) == {"i": 2, "d": 2, "s": 3, "b": 2, "day": 2, "list": 2}
