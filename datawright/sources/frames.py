@@ -8,6 +8,7 @@ import platform
 import re
 import sys
 import tempfile
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -65,6 +66,52 @@ def row_key(df: DataFrame, key: str | None = None) -> tuple[Column, str]:
     return F.col(ROW), "position"
 
 
+@dataclass(frozen=True)
+class RowIndex:
+    """Identity of the rows of a table, so that a selection taken before a repair can be found in the table after it.
+
+    Rows are named by a unique key column, else by their content if that is unique, else by their number. Selections are lists that a
+    user makes; they are joined to the rows, which stay where they are.
+    """
+
+    rows: DataFrame = field(repr=False)
+    name: Column = field(repr=False)
+    strength: str
+
+    @staticmethod
+    def of(df: DataFrame, key: str | None = None) -> RowIndex:
+        numbered = with_row_id(df)
+        name, strength = row_key(numbered, key)
+        return RowIndex(numbered, name.cast("string"), strength)
+
+    @property
+    def is_stable(self) -> bool:
+        """Whether the names survive a change of the table: a row's number does not."""
+        return self.strength != "position"
+
+    def _chosen(self, values: Iterable[object], kind: str) -> DataFrame:
+        """(at, value): the selection with its order."""
+        return self.rows.sparkSession.createDataFrame([(k, v) for k, v in enumerate(values)], f"at long, value {kind}")
+
+    def keys_for(self, positions: Iterable[int]) -> list[str]:
+        """Names of the rows at these places, in this order; places outside the table are left out."""
+        named = self.rows.select(F.col(ROW).cast("long").alias("value"), self.name.alias("key"))
+        return [r["key"] for r in self._chosen([p for p in positions if isinstance(p, int)], "long").join(named, "value").orderBy("at").collect()]
+
+    def positions_for(self, keys: Iterable[object]) -> list[int]:
+        """Places of the rows of these names, in this order; names that no row has (any more) are left out."""
+        named = self.rows.select(self.name.alias("value"), F.col(ROW).alias("place"))
+        return [r["place"] for r in self._chosen([str(k) for k in keys], "string").join(named, "value").orderBy("at").collect()]
+
+    def restrict(self, keys: Iterable[object]) -> DataFrame:
+        """The rows of these names, in the order of the table."""
+        chosen = self._chosen([str(k) for k in keys], "string").select("value")
+        return self.rows.join(chosen, self.name == chosen["value"], "left_semi").orderBy(ROW).drop(ROW)
+
+    def to_dict(self) -> dict[str, object]:
+        return {"source": self.strength, "stable": self.is_stable, "rows": self.rows.count()}
+
+
 @dataclass(frozen=True)
 class Fingerprint:
     """Schema and content of a version; the content hash does not depend on the order of rows."""

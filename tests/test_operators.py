@@ -14,7 +14,7 @@ from datawright.operators import anomaly, association, charts, drift, linkage, m
 from datawright.plans.contract import DataContract, learn_rules
 from datawright.plans.state import Clause, ViewState
 from datawright.plans.validate import Outcome, ValidationFailed, ValidationPlan
-from datawright.sources.frames import Fingerprint, Versions, read, row_key, with_row_id
+from datawright.sources.frames import Fingerprint, RowIndex, Versions, read, row_key, with_row_id
 
 
 def one(df):
@@ -263,3 +263,14 @@ def test_quantiles_are_exact_at_every_size(spark, monkeypatch, sampled, gathered
 def test_distinct_values_of_all_kinds_are_counted(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 0.0D, 'a', true, DATE '2024-01-01', array(1)), (2, -0.0D, 'A', true, DATE '2024-01-02', array(1)), (2, double('nan'), NULL, NULL, NULL, NULL), (NULL, 1.5D, '', false, DATE '2024-01-01', array(2)) AS t(i, d, s, b, day, list)")
     assert profile.distinct_counts(df, df.columns) == {"i": 2, "d": 2, "s": 3, "b": 2, "day": 2, "list": 2}
+
+
+def test_selections_outlive_repairs(spark):
+    d = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int").coalesce(1)
+    index = RowIndex.of(d, "k")
+    assert index.is_stable and index.positions_for(["c", "gone", "a"]) == [2, 0] and index.keys_for([1, 7, 0]) == ["b", "a"]
+    assert [tuple(r) for r in index.restrict(["c", "a", "x"]).collect()] == [("a", 1), ("c", 3)]
+    after = RowIndex.of(d.filter("k != 'a'").withColumn("v", F.col("v") + 1), "k")
+    assert after.positions_for(index.keys_for([0, 2])) == [1]
+    assert RowIndex.of(d).strength == "content" and RowIndex.of(d.unionByName(d)).to_dict() == {"source": "position", "stable": False, "rows": 6}
+    assert index.positions_for([]) == [] and index.restrict([]).count() == 0
