@@ -393,7 +393,7 @@ def _(t):  # noqa: ANN001, ANN202
 )
 def _(t):  # noqa: ANN001, ANN202
     d = t("part").withColumn("b", F.concat("p_brand", F.col("p_size").cast("string")))
-    return r6(linkage.link(d, ["p_retailprice", "p_type"], "b", 64, key="p_partkey", unicode=False))
+    return r6(linkage.link(d, ["p_retailprice", "p_type"], "b", 64, key="p_partkey", unicode=False, whole=True))
 
 
 @query("linkage_similar_names")
