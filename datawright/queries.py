@@ -398,7 +398,7 @@ def _(t):  # noqa: ANN001, ANN202
 
 @query("linkage_similar_names")
 def _(t):  # noqa: ANN001, ANN202
-    return linkage.link(t("supplier").withColumn("block", F.col("s_nationkey").cast("string")), ["s_name", "s_acctbal"], "block", key="s_suppkey")
+    return linkage.link(t("supplier").withColumn("block", F.col("s_nationkey").cast("string")), ["s_name", "s_acctbal"], "block", key="s_suppkey", whole=True)
 
 
 # Preprocessing ------------------------------------------------------------------------------------------

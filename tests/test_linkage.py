@@ -69,3 +69,13 @@ def test_bands_part_no_near_numbers(spark):
                 pairs.append((a, b))
         d = spark.createDataFrame(pairs, "a double, b double")
         assert len(pairs) > 100 and d.filter(F.abs(linkage._band(F.col("a"), apart) - linkage._band(F.col("b"), apart)) > 1).isEmpty()
+
+
+@pytest.mark.parametrize("names", [60, ROWS])  # with and without copies of names
+def test_similar_names_of_a_large_block(spark, tmp_path, names):
+    made = random.Random(names)
+    rows = [(k, f"Supplier#{k * 7 % names:09d}", 7, round(made.uniform(-1_000, 10_000), 2)) for k in range(ROWS)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = all_pairs([(k, name.lower(), x) for k, name, _, x in rows], minimum=0.95)
+    assert len(want) == 500
+    assert [tuple(r) for r in core.QUERIES["linkage_similar_names"](spark, str(tmp_path)).collect()] == want
