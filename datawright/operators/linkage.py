@@ -88,26 +88,26 @@ def _searched(keyed: DataFrame, fields: list[str], kinds: list[T.DataType], mini
     longest = max((n or 0 for n in rows.agg(*[F.max(F.length(c)) for c in texts]).first()), default=0) if texts else 0
     for step in (*STEPS, None):
         least = minimum if step is None else max(minimum, 1 - step)
-        found = _best(_promising(rows, kinds, least, unicode, longest), fields, kinds, least, limit, unicode).checkpoint()
+        each = len(fields) * least - (len(fields) - 1) - SLACK  # as no field scores over 1
+        similar = unicode and (each <= 0.5 or 2 * longest * (1 - each) >= 1)  # else different texts are bound to score less
+        found = _best(_promising(rows, kinds, least, each, similar), fields, kinds, least, limit, similar).checkpoint()
         if least == minimum or found.count() >= limit:
             return found
     raise AssertionError("the last step is the minimum")
 
 
-def _promising(rows: DataFrame, kinds: list[T.DataType], least: float, unicode: bool, longest: int) -> DataFrame:
-    """All pairs within blocks that can have a mean score of at least ``least``, and others.
+def _promising(rows: DataFrame, kinds: list[T.DataType], least: float, each: float, similar: bool) -> DataFrame:
+    """All pairs within blocks that can have a mean score of at least ``least``, so at least ``each`` in every field, and others.
 
-    As no field scores over 1, each must reach ``each``. Where this is over 0.5, rows with a missing field drop out, texts that must agree are part of the join key, and so is the
-    band of the first number. Groups of over ``PART`` rows are cut into parts, and each part meets each.
+    Where ``each`` is over 0.5, rows with a missing field drop out, the band of the first number is part of the join key, and so are texts unless ``similar`` ones may do.
+    Groups of over ``PART`` rows are cut into parts, and each part meets each.
     """
-    n = len(kinds)
-    each = n * least - (n - 1) - SLACK
     keys, banded = ["block"], False
     if each > 0.5:
         for k, kind in enumerate(kinds):
             c = F.col(f"f{k}")
             rows = rows.filter(F.abs(c.cast("double")) < F.lit(math.inf) if isinstance(kind, T.NumericType) else c.isNotNull())
-            if not isinstance(kind, T.NumericType) and (not unicode or 2 * longest * (1 - each) < 1):  # else the bound below is under ``each``
+            if not isinstance(kind, T.NumericType) and not similar:
                 rows, keys = rows.withColumn(f"k{k}", c), [*keys, f"k{k}"]
             elif isinstance(kind, T.NumericType) and not banded:
                 rows, banded = rows.withColumn("band", _band(c.cast("double"), 1 - each)), True
@@ -126,8 +126,8 @@ def _promising(rows: DataFrame, kinds: list[T.DataType], least: float, unicode:
         left, right = (side.withColumnRenamed("part", f"{s}_part").withColumn(f"{o}_part", every).drop("parts") for side, s, o in ((left, "l", "r"), (right, "r", "l")))
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, math.ceil(work / PART**2)))
     left, right = (side.repartition(tasks, *on) for side in (left, right))
-    bounds = [_bound(F.col(f"l_f{k}"), F.col(f"r_f{k}"), kind, unicode) for k, kind in enumerate(kinds)]
-    cheap, close = (sum((b[i] for b in bounds), F.lit(0.0)) / n >= least - SLACK for i in (0, 1))
+    bounds = [_bound(F.col(f"l_f{k}"), F.col(f"r_f{k}"), kind, similar) for k, kind in enumerate(kinds)]
+    cheap, close = (sum((b[i] for b in bounds), F.lit(0.0)) / len(kinds) >= least - SLACK for i in (0, 1))
     return left.hint("merge").join(right, on).filter((F.col("l_id") < F.col("r_id")) & F.when(cheap, close).otherwise(False))
 
 
